@@ -1,0 +1 @@
+"""Multi-tenant records with fields declared at run time, queried on Spark."""
