@@ -77,7 +77,10 @@ def balance(histogram: DataFrame, targets: DataFrame, where: str, cap: int = CAP
         rate = _rate(F.col("size"), F.col("scale"), F.col("multiplier"), cap)
         words = F.col("size") * F.col("n") * rate
         slope = F.when(rate < cap, words * F.col("size") / F.col("scale")).otherwise(0.0)
-        got = joined.groupBy("source", "target", "source_size", "scale", "multiplier", "low", "high").agg(F.sum(words).alias("words"), F.sum(slope).alias("slope"))
+        got = joined.groupBy("source", "target", "source_size", "scale", "multiplier", "low", "high").agg(
+            # Decimal sums do not depend on the order of rows, so reruns take the same steps to the last bit.
+            F.sum(words.cast("decimal(38,6)")).cast("double").alias("words"), F.sum(slope.cast("decimal(38,6)")).cast("double").alias("slope"),
+        )
         over = F.col("words") > F.col("target")
         low, high = F.when(over, F.col("low")).otherwise(F.col("multiplier")), F.when(over, F.col("multiplier")).otherwise(F.col("high"))
         newton = F.col("multiplier") + (F.col("target") - F.col("words")) / F.col("slope")
