@@ -126,3 +126,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, i
     out = d.join(p, F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.size") == F.col("p.size")) & (F.col("d.bucket") == F.col("p.bucket")))
     copies = F.col("whole") + F.when(F.col("before") + F.col("nth") <= F.col("extras"), 1).otherwise(0)
     return out.select("d.doc_id", "d.source", "d.size", F.col("source_size").cast("long").alias("source_size"), "target", "rate", copies.alias("copies"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """``docs`` with every document as often as the mix takes it (0 to ``cap`` times).
+
+    Rows equal in id, source and size share their copies, rounded up.
+    """
+    where = work_dir(docs.sparkSession, "mixed")
+    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    taken = taken.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n"))
+    changed = materialise(taken.where("copies <> n").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_s"), F.ceil(F.col("copies") / F.col("n")).cast("int").alias("_copies")), f"{where}/changed")
+    side = small_side(changed, changed.count(), 80)
+    sized = docs.withColumn("_size", word_count(text_or_empty(text_col)))
+    same = sized[id_col].eqNullSafe(side["_id"]) & sized[source_col].eqNullSafe(side["_source"]) & (sized["_size"] == side["_s"])
+    joined = sized.join(side, same, "left").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.coalesce("_copies", F.lit(1)))))
+    return joined.select(*docs.columns)

@@ -44,21 +44,68 @@ _STEP = 1 << 15  # shingles at a time
 _LOW_BITS = 0x5555555555555555
 
 
-def fingerprint(text: str, shingle: int = 3, seed: int = SEED) -> int:
-    """Unsigned 64-bit SimHash."""
+def _bit_counts(words: np.ndarray) -> np.ndarray:
+    """How often each bit is set in a column of 64-bit words: (n, w) to (w, 64).
+
+    Bit-sliced: halves of the column are added plane by plane, as carry chains of whole
+    words, until one row of planes is left; about ten word operations a word.
+    """
+    planes = [words]
+    while len(planes[0]) > 1:
+        n = len(planes[0])
+        if n % 2:
+            planes = [np.concatenate([p, np.zeros((1, p.shape[1]), dtype=np.uint64)]) for p in planes]
+            n += 1
+        added, carry = [], None
+        for p in planes:
+            x, y = p[: n // 2], p[n // 2 :]
+            half = x ^ y
+            added.append(half if carry is None else half ^ carry)
+            carry = x & y if carry is None else (x & y) | (half & carry)
+        planes = [*added, carry]
+    shift = np.arange(63, -1, -1, dtype=np.uint64)
+    out = np.zeros((words.shape[1], 64), dtype=np.int64)
+    for i, p in enumerate(planes):
+        out += ((p[0][:, None] >> shift) & np.uint64(1)).astype(np.int64) << i
+    return out
+
+
+def _grams(text: str, shingle: int) -> tuple[Iterator[tuple[bytes, ...]], int]:
+    """Shingles and their number; fewer words than a shingle are one."""
     words = text.encode().lower().split()  # bytes: A-Z only, and the six ASCII white space characters
     if not words:
-        return 0
+        return iter(()), 0
     if len(words) < shingle:
-        grams: Iterator[tuple] = iter([tuple(words)])
-        n = 1
-    else:
-        grams, n = zip(*(words[i:] for i in range(shingle))), len(words) - shingle + 1
-    digest, join, counts = xxhash.xxh64_digest, b" ".join, np.zeros(64, dtype=np.int64)
+        return iter([tuple(words)]), 1
+    return zip(*(words[i:] for i in range(shingle))), len(words) - shingle + 1
+
+
+def _hashes(grams: list[tuple[bytes, ...]], seed: int) -> np.ndarray:
+    digest, join = xxhash.xxh64_digest, b" ".join
+    return np.frombuffer(b"".join([digest(join(g), seed) for g in grams]), ">u8").astype(np.uint64)
+
+
+def fingerprint(text: str, shingle: int = 3, seed: int = SEED, words: int = 1) -> list[int]:
+    """SimHash of 64 * ``words`` bits as unsigned words.
+
+    The first word is of the shingles' XXH64 itself; further words come from the same hash
+    by a multiply-and-shift mix with another odd constant each.
+    """
+    grams, n = _grams(text, shingle)
+    counts = np.zeros((words, 64), dtype=np.int64)
     while part := list(itertools.islice(grams, _STEP)):
-        raw = b"".join([digest(join(g), seed) for g in part])
-        counts += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+        counts += _bit_counts(_widen(_hashes(part, seed), words))
+    return [int.from_bytes(row.tobytes(), "big") for row in np.packbits(2 * counts > n, axis=1)]
+
+
+def _widen(h: np.ndarray, words: int) -> np.ndarray:
+    cols = [h]
+    for i in range(1, words):
+        z = h + np.uint64((0x9E3779B97F4A7C15 * i) % (1 << 64))
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        cols.append(z ^ (z >> np.uint64(31)))
+    return np.stack(cols, axis=1)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,7 +119,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in slices(batch, 1024):
-                fps = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
+                fps = np.array([fingerprint(t, shingle)[0] for t in texts], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, arrow_id), pa.array(fps)], names=["doc_id", "fp"])
 
     return source.mapInArrow(run, T.StructType([T.StructField("doc_id", id_type), T.StructField("fp", T.LongType())]))
@@ -227,3 +274,135 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 3, id
     labels = placed.select("fp", "root").join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     labels = materialise(labels, f"{where}/labels")
     return marked.join(small_side(labels, labels.count(), 32), "fp", "left").select("doc_id", "fp", "component_id")
+
+
+# Near copies by similarity: wide fingerprints for candidates, shingle sets for the decision.
+
+#: Words of 64 bits: four bands of 16 bits each for the candidate cells.
+WIDE_WORDS = 16
+BAND_BITS = 16
+#: Words that travel with the cells, and how many of their bits may differ.  A pair at
+#: similarity 0.8 differs in about a sixth of its bits, an unrelated one in half.
+SKETCH_WORDS = 4
+SKETCH_BITS = 52
+
+
+def _wide(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, row (hash of the text), sketch and all words, as signed longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for rows, texts in slices(batch.select([1, 2]), 1024):
+                ids = batch.column(0).slice(at, len(texts))
+                at += len(texts)
+                fps = np.array([fingerprint(t, shingle, words=WIDE_WORDS) for t in texts], dtype=np.uint64).reshape(len(texts), WIDE_WORDS).view(np.int64)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * WIDE_WORDS), pa.array(fps.ravel()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(rows, pa.int64()), flat], names=["doc_id", "row", "wide"])
+
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("row", T.LongType()), T.StructField("wide", T.ArrayType(T.LongType()))])
+    return docs.select("doc_id", "row", "text").mapInArrow(run, schema)
+
+
+def _link_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, node, sketch words) sorted by cell: a spanning forest of each cell's close pairs."""
+
+    def forest(sketch: np.ndarray) -> list[tuple[int, int]]:
+        out, rest = [], np.arange(len(sketch))
+        while len(rest) > 1:
+            queue, rest = [rest[0]], rest[1:]
+            while queue and len(rest):
+                at = queue.pop()
+                near = np.bitwise_count(sketch[rest] ^ sketch[at]).sum(axis=1, dtype=np.int64) <= SKETCH_BITS
+                if near.any():
+                    out += [(at, x) for x in rest[near]]
+                    queue += rest[near].tolist()
+                    rest = rest[~near]
+        return out
+
+    def take(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        if not parts:
+            return
+        cells, nodes, *words = (np.concatenate(c) for c in zip(*parts))
+        sketch = np.stack(words, axis=1).view(np.uint64)
+        cut = np.flatnonzero(np.diff(cells)) + 1
+        first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(cells)]])
+        two = first[last - first == 2]
+        near = two[np.bitwise_count(sketch[two] ^ sketch[two + 1]).sum(axis=1, dtype=np.int64) <= SKETCH_BITS]
+        a, b = [nodes[near]], [nodes[near + 1]]
+        for lo, hi in zip(first[last - first > 2], last[last - first > 2]):
+            if found := forest(sketch[lo:hi]):
+                pairs = np.array(found) + lo
+                a.append(nodes[pairs[:, 0]])
+                b.append(nodes[pairs[:, 1]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        cols = tuple(batch.column(i).to_numpy() for i in range(batch.num_columns))
+        if not len(cols[0]):
+            continue
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))
+        if cut:
+            yield from take([*held, tuple(c[:cut] for c in cols)])
+            held = []
+        held.append(tuple(c[cut:] for c in cols))
+    yield from take(held)
+
+
+def _shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """node, shingles: the sorted distinct hashes of each text's shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for nodes, texts in slices(batch, 256):
+                sets = [np.unique(_hashes(list(_grams(t, shingle)[0]), SEED)).view(np.int64) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return rows.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+
+
+def distinct_documents(docs: DataFrame, shingle: int = 5, min_similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of near copies: the one with the smallest id.
+
+    Copies link if the Jaccard similarity of their shingle sets reaches ``min_similarity``.
+    At 0.8 about a sixth of the bits of two SimHashes differ, far beyond the few bits that
+    cells of one 64-bit fingerprint can bridge, so candidates are pairs that agree on one of
+    64 bands of a 1,024-bit fingerprint and differ in few bits of a 256-bit part of it; the
+    README gives the measured recall.  The decision is made on the shingles themselves.
+
+    Texts without a word are copies of one another.  Rows equal in id and text are one.
+    """
+    spark, where = docs.sparkSession, work_dir(docs.sparkSession, "near-copies")
+    source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("row"), text_or_empty(text_col).alias("text"))
+    marked = materialise(_wide(source, shingle), f"{where}/wide")
+    node = F.xxhash64("wide")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row"))
+    nodes = materialise(marked.groupBy(node.alias("node")).agg(least.alias("least"), F.any_value("wide").alias("wide"), F.count(F.lit(1)).alias("n")), f"{where}/nodes")
+
+    bands = [(w, s) for w in range(WIDE_WORDS) for s in range(0, 64, BAND_BITS)]
+    word = lambda i: F.element_at("wide", i + 1)
+    cell = F.explode(F.array(*(F.xxhash64(F.lit(i), F.shiftrightunsigned(word(w), s).bitwiseAND(F.lit((1 << BAND_BITS) - 1))) for i, (w, s) in enumerate(bands))))
+    grid = nodes.select(cell.alias("cell"), "node", *(word(i).alias(f"s{i}") for i in range(SKETCH_WORDS))).repartition("cell").sortWithinPartitions("cell")
+    pairs = materialise(grid.mapInArrow(_link_bands, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{where}/pairs")
+
+    # Decision on the shingle sets of one document for each fingerprint that has a candidate.
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    chosen = materialise(nodes.join(asked, "node", "left_semi").select("node", "least.doc_id", "least.row"), f"{where}/chosen")
+    side = small_side(chosen, chosen.count(), 48)
+    texts = source.join(side, source["doc_id"].eqNullSafe(side["doc_id"]) & (source["row"] == side["row"])).select(side["node"], source["text"])
+    sets = materialise(_shingle_sets(texts, shingle).dropDuplicates(["node"]), f"{where}/shingles")
+    x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    linked = pairs.join(x, "a").join(y, "b").where(common >= min_similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    roots = connected_components(linked, f"{where}/components")
+
+    placed = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
+    keepers = materialise(placed.groupBy("root").agg(F.min("least").alias("k")).select("k.doc_id", "k.row"), f"{where}/keepers")
+    side = small_side(keepers, keepers.count(), 48).withColumnsRenamed({"doc_id": "_k_id", "row": "_k_row"})
+    kept = docs.withColumn("_row", F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    kept = kept.join(side, kept[id_col].eqNullSafe(side["_k_id"]) & (kept["_row"] == side["_k_row"]), "left_semi").drop("_row")
+    repeated = marked.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates([id_col])

@@ -70,6 +70,15 @@ def test_cascade_order_does_not_change_the_verdict(spark):
     assert quality.apply_rules(df.limit(0)).count() == 0
 
 
+def test_keep_returns_the_kept_rows_with_their_own_columns(spark):
+    texts = corpus()
+    df = spark.createDataFrame([(i, t, f"c{i}", i % 2 == 0) for i, t in enumerate(texts)], "doc_id long, text string, n_words string, kept boolean")
+    want = {g.doc_id for g in quality.apply_rules(df.drop("kept")).collect() if g.kept}
+    got = quality.keep(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r) for r in df.collect() if r.doc_id in want)
+
+
 # mixing
 
 
