@@ -36,34 +36,16 @@ SAMPLE_ROWS = 2000
 
 
 def _words(text: Column) -> Column:
-    """Words as an array; runs of space are one blank first, so the split is by a single character."""
+    """Words as an array; the split is by a single character unless blanks meet."""
     one = F.trim(F.translate(text, ASCII_SPACE, " " * 6))
-    return F.when(one == "", F.array().cast("array<string>")).otherwise(F.split(one, " +"))
-
-
-def word_stats(text: Column) -> dict[str, Column]:
-    one = F.translate(text, ASCII_SPACE, " " * 6)
-    return {
-        "n_words": F.regexp_count(one, F.lit("[^ ]+")).cast("long"),
-        "word_chars": F.char_length(F.translate(text, ASCII_SPACE, "")).cast("long"),
-        "n_symbols": (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long"),
-    }
-
-
-def n_lines(text: Column) -> Column:
-    """Lines with a word."""
-    return F.size(_lines(text)).cast("long")
+    return F.when(one == "", F.array().cast("array<string>")).when(F.contains(one, F.lit("  ")), F.split(one, " +")).otherwise(F.split(one, " "))
 
 
 def _lines(text: Column) -> Column:
+    """Lines with a word."""
     return F.filter(F.split(text, "\n", -1), lambda line: F.translate(line, ASCII_SPACE, "") != "")
 
 
-def n_dup_lines(text: Column) -> Column:
-    lines = _lines(text)
-    return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
-
-
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds the statistics and n_lines to every row.
 
@@ -73,7 +55,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     kept = [c for c in docs.columns if c not in STATISTICS and not c.startswith("_q_")]
-    df = docs.select(*kept, text.alias("_q_text")).withColumn("_q_words", _words(F.col("_q_text")))
+    df = docs.select(*kept, text.alias("_q_text")).withColumns({"_q_words": _words(F.col("_q_text")), "_q_lines": _lines(F.col("_q_text"))})
     w, n = F.col("_q_words"), F.greatest(F.size("_q_words") - 2, F.lit(0))
     df = df.withColumn("_q_windows", F.zip_with(F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.xxhash64(a, b)), F.slice(w, 3, n), lambda ab, c: F.xxhash64(ab, c)))
     v = F.col("_q_windows")
@@ -87,13 +69,15 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at = F.col("_q_at")
     # A place covers the words up to the next place, three at most; the last place covers three.
     gaps = F.aggregate(F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1), lambda a, b: F.least(b - a, F.lit(3))), F.lit(3).cast("long"), lambda acc, g: acc + g)
-    stats = word_stats(F.col("_q_text")) | {"n_words": F.size("_q_words").cast("long")}
+    t = F.col("_q_text")
     return df.select(
         *kept,
-        *(c.alias(name) for name, c in stats.items()),
-        n_dup_lines(F.col("_q_text")).alias("n_dup_lines"),
+        F.size("_q_words").cast("long").alias("n_words"),
+        F.char_length(F.translate(t, ASCII_SPACE, "")).cast("long").alias("word_chars"),
+        (F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long").alias("n_dup_lines"),
         F.when(at.isNotNull(), gaps).otherwise(0).cast("long").alias("n_repeat_words"),
-        n_lines(F.col("_q_text")).alias("n_lines"),
+        F.size("_q_lines").cast("long").alias("n_lines"),
     )
 
 
@@ -134,7 +118,8 @@ def plan_cascade(docs: DataFrame, rules: list[Rule], text_col: str = "text", sam
         timed = []
         for rule in rules:
             began = time.perf_counter()
-            rejected = measure(sample, text_col).where(rule.rejects).count()
+            # Counted, not filtered: a filter would be pushed below the statistics and repeat them.
+            rejected = measure(sample, text_col).agg(F.count_if(rule.rejects)).first()[0]
             timed.append((rule, time.perf_counter() - began, rejected / n if n else 0.0))
     finally:
         sample.unpersist()
@@ -155,3 +140,15 @@ def apply_rules(docs: DataFrame, rules: list[Rule] | None = None, text_col: str
     base = base_rule()
     ordered = [r for r, _, _ in plan_cascade(docs, [base, *rules], text_col)]
     return measure(docs, text_col).withColumn("base_failed", base.rejects).withColumn("kept", cascade(ordered))
+
+
+def keep(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text") -> DataFrame:
+    """The documents that every rule keeps, with their own columns.
+
+    The row number is not deterministic, so Catalyst leaves the filter above the statistics
+    instead of pushing it below and computing them again for each mention.
+    """
+    clash = {c: f"_own_{c}" for c in docs.columns if c in STATISTICS or c in ("kept", "base_failed")}
+    judged = apply_rules(docs.withColumnsRenamed(clash), rules, text_col).withColumn("_q_row", F.monotonically_increasing_id())
+    kept = judged.where(F.col("kept") & (F.col("_q_row") >= 0))
+    return kept.select(*(F.col(clash.get(c, c)).alias(c) for c in docs.columns))
