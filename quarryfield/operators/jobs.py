@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame
@@ -58,6 +58,13 @@ class Jobs:
         self.rows: dict[int, Job] = {}
         self.settings, self.clock = settings, clock
 
+    def to_list(self) -> list[dict]:
+        return [{k: v.isoformat() if isinstance(v, datetime) else v for k, v in asdict(j).items()} for j in self.rows.values()]
+
+    def load(self, rows: list[dict]) -> None:
+        when = ("created_at", "heartbeat_at", "completed_at")
+        self.rows = {r["id"]: Job(**{k: datetime.fromisoformat(v) if k in when and v else v for k, v in r.items()}) for r in rows}
+
     def submit(self, tenant_id: int, key: str | None = None, **parts) -> Job:
         """A key that the tenant has used gives the earlier job."""
         tenant(tenant_id)

@@ -8,7 +8,7 @@ size that exist only as tables.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -174,6 +174,13 @@ class Registry:
     def bump(self) -> "Registry":
         return self._next()
 
+    def to_dict(self) -> dict:
+        return {"version": self.version, **{k: [asdict(x) for x in getattr(self, k)] for k in ("models", "fields", "slots")}}
+
+    @staticmethod
+    def from_dict(d: dict) -> "Registry":
+        return Registry(d["version"], tuple(Model(**x) for x in d["models"]), tuple(Field(**x) for x in d["fields"]), tuple(Slot(**x) for x in d["slots"]))
+
     def to_frames(self, spark: SparkSession) -> dict[str, DataFrame]:
         return {
             "models": spark.createDataFrame([(m.id, m.tenant_id, m.name) for m in self.models], "id int, tenant_id long, name string"),
