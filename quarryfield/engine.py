@@ -19,7 +19,7 @@ from .registry import Registry
 from .sources.store import Store
 from .streaming.imports import run_import
 from .streaming.outbox import drain, enqueue
-from .types import LIVE, Settings
+from .types import FAMILY, LIVE, SPARK_TYPE, Settings
 
 
 class Engine:
@@ -76,8 +76,6 @@ class Engine:
         df = self.store.read()
         if df is None:
             df = self.spark.createDataFrame([], "entry_id long, tenant_id long, model_id int, created_at timestamp_ntz, updated_at timestamp_ntz, deleted_at timestamp_ntz, fields string")
-        from .types import SPARK_TYPE
-
         new: dict[str, Column] = {}
         for view in (fields or {}).values():
             if view.slot is not None:
@@ -282,7 +280,7 @@ class Engine:
         return self.exports.get(tenant_id, job_id)
 
     def run_next_export(self, apply_filter: bool = True) -> Job | None:
-        job = self.exports.claim(fair=True)
+        job = self.exports.claim(fair=True) if self._room() else None
         if job is None:
             return None
         self.events.emit("chronicler", "job_claimed", job=job.id)
@@ -304,6 +302,27 @@ class Engine:
         self.events.emit("chronicler", "job_complete", job=job.id, skipped=skipped)
         return self.exports.update(job.id, status="completed", artifact_path=path, manifest={"skipped": skipped})
 
+    def collect_garbage(self) -> int:
+        """Delete old artifacts of finished jobs."""
+
+        def delete(path: str) -> None:
+            target, fs = self.store.file(path)
+            fs.delete(target, True)
+
+        n = self.exports.collect_garbage(delete) + self.imports.collect_garbage(delete)
+        self.events.emit("chronicler", "gc_swept", artifacts=n)
+        return n
+
+    def _room(self) -> bool:
+        """Exports wait while the store has less than a tenth of its space left; unknown sizes count as room."""
+        _, fs = self.store.file(self.root)
+        status = fs.getStatus()
+        capacity = status.getCapacity()
+        if not 0 < capacity < 1 << 62 or status.getRemaining() >= self.settings.min_free_space * capacity:
+            return True
+        self.events.emit("chronicler", "low_disk")
+        return False
+
     # fields that change
 
     def retype_field(self, tenant_id: int, model_id: int, name: str, target: str) -> DataFrame | None:
@@ -330,6 +349,7 @@ class Engine:
         self.store.write(lifecycle.backfill(records, view, source))
         self.registry = lifecycle.finish_retype(self.registry, model_id, name)
         self.events.emit("registry", "promote_to_ready", field=name)
+        self.advise(model_id)
         return lifecycle.audit(self.records(), view, source)
 
     def sweep(self) -> int:
@@ -369,8 +389,6 @@ class Engine:
             c = capacity.get(s.family, planning.Capacity())
             free = s.status == "free"
             capacity[s.family] = planning.Capacity(c.total + 1, c.free + free, c.indexed + s.indexed, c.indexed_free + (free and s.indexed))
-        from .types import FAMILY
-
         for f in self.registry.fields:
             if f.filterable and self.registry.view(f.model_id)[f.name].slot is None:
                 waiters[FAMILY[f.declared_type]] = waiters.get(FAMILY[f.declared_type], 0) + 1
@@ -391,6 +409,18 @@ class Engine:
         t = self.registry.to_frames(self.spark)
         return analytics.spread_report(t["models"], t["fields"], t["slots"])
 
+    def advise(self, model_id: int) -> None:
+        """Events for columns with few distinct values and models spread over more pages than they need."""
+        model = next(m for m in self.registry.models if m.id == model_id)
+        sample = self.cardinality(model.tenant_id, model_id)
+        self.events.emit("registry", "cardinality_sampled", model=model_id)
+        for row in analytics.low_cardinality(sample, self.settings).collect():  # a row for each field and tenant at most
+            self.events.emit("registry", "low_cardinality_index", model=model_id, column=row["column"], reasons=row["reasons"])
+        spread = self.spread().where(F.col("model_id") == model_id)
+        self.events.emit("registry", "spread_sampled", model=model_id)
+        for row in analytics.high_spread(spread, self.settings).collect():
+            self.events.emit("registry", "high_spread_model", model=model_id, pages=row["pages"], excess=row["excess"])
+
     def cardinality(self, tenant_id: int, model_id: int) -> DataFrame:
         fields = {n: v for n, v in self._fields(tenant_id, model_id).items() if v.typed}
         df = self.records(fields).where(F.col("model_id") == model_id)

@@ -49,6 +49,7 @@ class Settings:
     export_active_cap: int = 3
     export_max_bytes: int = 5 << 30
     export_max_skips: int = 1000
+    min_free_space: float = 0.1
     lease_seconds: int = 60
     gc_completed_seconds: int = 86_400
     gc_failed_seconds: int = 3_600

@@ -271,3 +271,37 @@ def test_injected_driver(spark, tmp_path):
     assert e.search(1, m).rows == [{"entry_id": 9}] and e.get(1, 4) == {"entry_id": 4}
     with pytest.raises(Exception, match="capability_unsupported"):
         e.search(1, m, json.dumps({"filter": {"op": "neq", "field": {"model": "m", "name": "s"}, "value": "x"}}))
+
+
+def test_collect_garbage_deletes_artifacts(engine):
+    m = company(engine)
+    engine.submit_export(1, m, "csv")
+    done = engine.run_next_export()
+    engine.exports.update(done.id, completed_at=datetime(2000, 1, 1))
+    assert engine.collect_garbage() == 1 and not glob.glob(done.artifact_path.removeprefix("file://")) and engine.collect_garbage() == 0
+    engine.settings = Settings(min_free_space=1.1)
+    engine.submit_export(1, m, "csv")
+    assert engine.run_next_export() is None and engine.seen[-1]["event"] == "low_disk"
+
+
+def test_advisories_after_a_change_of_type(engine):
+    m = company(engine)
+    engine.retype_field(1, m, "employees", "numeric")
+    assert {e["column"] for e in engine.seen if e["event"] == "low_cardinality_index"} == {"name", "industry", "employees", "founded"}
+    assert [e["event"] for e in engine.seen if e["source"] == "registry"][-2:] != [] and any(e["event"] == "spread_sampled" for e in engine.seen)
+
+
+def test_command_line(engine, spark, capsys):
+    from quarryfield.cli import main
+
+    m = company(engine)
+    engine.submit_export(1, m, "json")
+    engine.save()
+    root = ["--root", engine.root]
+    assert main([*root, "export"]) == 0 and main([*root, "spread"]) == 0 and main([*root, "sweep"]) == 0 and main([*root, "watch"]) == 0
+    assert main([*root, "compact", "1", str(m), "--dry-run"]) == 0
+    assert main([*root, "replay", "--reason", "other"]) == 1 and main([*root, "nonsense"]) == 2
+    again = Engine(spark, engine.root)
+    again.load()
+    assert again.exports.rows[1].status == "completed"
+    assert '"moves": 0' in capsys.readouterr().out
