@@ -41,30 +41,46 @@ BLOCKS = 3
 _PLACE = ("doc_id", "row", "nth")
 
 
-def normalise(line: Column) -> Column:
-    one = F.trim(F.translate(line, ASCII_SPACE, " " * 6))
-    return F.lower(F.when(F.contains(one, F.lit("  ")), F.regexp_replace(one, " {2,}", " ")).otherwise(one))
+def normalise(text: Column) -> Column:
+    """Lower case, white space other than line breaks collapsed; a whole text at once, its lines are trimmed later.
+
+    Rare characters are looked for before anything is rewritten: a search reads bytes, a
+    rewrite decodes every character.
+    """
+    odd = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\x0c"))
+    text = F.when(odd, F.translate(text, "\t\r\x0b\x0c", " " * 4)).otherwise(text)
+    return F.lower(F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, " {2,}", " ")).otherwise(text))
 
 
 def _blocks(n: Column) -> Column:
     return F.when(n <= BLOCK_LINE_WORDS, F.lit(BLOCKS)).otherwise(F.ceil(F.sqrt(n) / 2).cast("int"))
 
 
-def _variants(words: str, longer: bool) -> Column:
-    """Block-deletion variants of a line, seen as one of n words, or (``longer``) as n words and one more.
+def _edges(n: Column, blocks: Column, b: Column) -> tuple[Column, Column]:
+    """Block b covers words [start, end) of n."""
+    return F.floor(b * n / blocks).cast("int"), F.floor((b + 1) * n / blocks).cast("int")
+
 
-    Block b covers words [s, e) of the n; the variant is what stands before s and the n - e last words.
+def _variant(line: Column, n: Column, blocks: Column, b: Column) -> Column:
+    """Hash of a line without block b, seen as one of n words: the first words up to the block and the last after it.
+
+    A line of one word more has the same hash if the extra word is in that block.
     """
-    w = F.col(words)
-    size = F.size(w)
-    n = size - 1 if longer else size
+    start, end = _edges(n, blocks, b)
+    part = lambda k: F.call_function("substring_index", line, F.lit(" "), k)
+    return F.xxhash64(n, b, part(start), part(end - n))
+
 
-    def variant(b: Column) -> Column:
-        s, e = F.floor(b * n / _blocks(n)).cast("int"), F.floor((b + 1) * n / _blocks(n)).cast("int")
-        rest = F.slice(w, size - (n - e) + 1, n - e)
-        return F.struct(F.xxhash64(n, b, F.slice(w, F.lit(1), s), rest).alias("key"), F.lit(longer).alias("longer"), s.alias("at"), (e - s + int(longer)).alias("len"))
+def _variants(line: Column, n: Column, min_words: int) -> Column:
+    """Hashes of the block-deletion variants: as one of n words, then as n - 1 words and one more.
 
-    return F.transform(F.sequence(F.lit(0), _blocks(n) - 1), variant)
+    Lines of usual length have a fixed number of blocks, spelled out so that no loop is interpreted.
+    """
+    few = lambda m: F.array(*(_variant(line, m, F.lit(BLOCKS), F.lit(b)) for b in range(BLOCKS)))
+    many = lambda m: F.transform(F.sequence(F.lit(0), _blocks(m) - 1), lambda b: _variant(line, m, _blocks(m), b))
+    short = F.when(n <= BLOCK_LINE_WORDS, F.when(n > min_words, F.concat(few(n), few(n - 1))).otherwise(few(n)))
+    long = F.when(n - 1 <= BLOCK_LINE_WORDS, F.concat(many(n), few(n - 1))).otherwise(F.concat(many(n), many(n - 1)))
+    return F.when(n >= min_words, F.coalesce(short, long))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -97,19 +113,22 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     rows = _rows(docs, id_col, text_col)
 
     # One pass over the texts: places, 128 bits for each line, block-deletion variants.
-    lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("nth", "raw")).select(*_PLACE, normalise(F.col("raw")).alias("line")).where("line != ''")
-    lines = lines.withColumn("w", F.when(F.length("line") >= 2 * min_words - 3, F.transform(F.split("line", " "), lambda x: F.xxhash64(x))))
-    long_enough = F.size("w") >= min_words
-    variants = F.when(long_enough & (F.size("w") > min_words), F.concat(_variants("w", False), _variants("w", True))).when(long_enough, _variants("w", False))
-    seen = materialise(lines.select(*_PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), variants.alias("variants")), f"{where}/lines")
+    split = rows.select("doc_id", "row", F.posexplode(F.split(normalise(F.col("text")), "\n", -1)).alias("nth", "raw"))
+    lines = split.select(*_PLACE, F.trim("raw").alias("line")).where("line != ''")
+    lines = lines.withColumn("n", (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("int"))
+    seen = materialise(lines.select(*_PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "n", _variants(F.col("line"), F.col("n"), min_words).alias("variants")), f"{where}/lines")
     firsts = materialise(
-        seen.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.any_value("variants").alias("variants"), F.count(F.lit(1)).alias("places")),
+        seen.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.max("n").alias("n"), F.any_value("variants").alias("variants"), F.count(F.lit(1)).alias("places")),
         f"{where}/firsts",
     )
 
     # Level 1: distinct lines that share a block-deletion variant with another.
-    shared = materialise(firsts.select(F.explode("variants.key").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), f"{where}/shared")
-    each = firsts.select("first.*", F.explode("variants").alias("v")).select(*_PLACE, "v.*")
+    shared = materialise(firsts.select(F.explode("variants").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), f"{where}/shared")
+    each = firsts.select("first.*", "n", F.posexplode("variants").alias("i", "key"))
+    own = _blocks(F.col("n"))
+    each = each.withColumn("longer", F.col("i") >= own).withColumn("m", F.col("n") - F.col("longer").cast("int"))
+    start, end = _edges(F.col("m"), _blocks(F.col("m")), F.when(F.col("longer"), F.col("i") - own).otherwise(F.col("i")))
+    each = each.select(*_PLACE, "key", "longer", start.alias("at"), (end - start + F.col("longer").cast("int")).alias("len"))
     matched = each.join(small_side(shared, shared.count(), 32), "key")
     by_row = materialise(matched.groupBy("doc_id", "row").agg(F.collect_list(F.struct("nth", "key", "longer", "at", "len")).alias("blocks"), F.count(F.lit(1)).alias("n")), f"{where}/matched")
     size = by_row.agg(F.sum("n"), F.count(F.lit(1))).first()
@@ -117,8 +136,8 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
 
     # Level 2: word-deletion variants of the shared blocks, with the lines' words at hand.
     texts = rows.join(side, _same_row(rows, side))
-    texts = texts.select(rows["doc_id"], rows["row"], F.split("text", "\n", -1).alias("split"), F.explode("blocks").alias("b"))
-    texts = texts.select("doc_id", "row", "b.*", normalise(F.get("split", F.col("b.nth"))).alias("line")).withColumn("block", F.slice(F.transform(F.split("line", " "), lambda x: F.xxhash64(x)), F.col("at") + 1, F.col("len")))
+    texts = texts.select(rows["doc_id"], rows["row"], F.split(normalise(rows["text"]), "\n", -1).alias("split"), F.explode("blocks").alias("b"))
+    texts = texts.select("doc_id", "row", "b.*", F.trim(F.get("split", F.col("b.nth"))).alias("line")).withColumn("block", F.slice(F.transform(F.split("line", " "), lambda x: F.xxhash64(x)), F.col("at") + 1, F.col("len")))
     block, length = F.col("block"), F.col("len")
     without = lambda j: (F.slice(block, F.lit(1), j), F.slice(block, j + 2, length - j - 1))
     word = F.transform(
@@ -154,12 +173,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "n_near")]
     df = docs.select(*kept).withColumn("_text_row", F.xxhash64(text_col))
     df = df.join(side, df[id_col].eqNullSafe(side["_doc_id"]) & (df["_text_row"] == side["_row"]), "left")
-    split = F.split(F.col(text_col), "\n", -1)
-    places = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(places, lambda i: F.get(split, i)), "\n"))
+    df = df.withColumn("_split", F.split(F.col(text_col), "\n", -1))  # a column, so that the loop below does not split again
+    places = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col("_gone"))
+    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(places, lambda i: F.get("_split", i)), "\n"))
     return df.select(
         *(text.alias(c) if c == text_col else F.col(c) for c in kept),
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)).alias("n_lines"),
+        F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_split")).alias("n_lines"),
         F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).alias("n_dropped"),
         F.coalesce("_near", F.lit(0)).alias("n_near"),
     )
