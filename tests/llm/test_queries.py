@@ -5,7 +5,7 @@ import pytest
 
 from quarryfield.llm import queries
 
-from ..test_catalog import plain
+from ..test_catalog import KINDS, plain
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,7 +23,7 @@ def test_query_agrees_with_sql(spark, name, sf):
     got = sorted(tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect())
     rel = con.sql(queries.ORACLES[name])
     order = sorted(range(len(rel.columns)), key=lambda i: rel.columns[i])
-    assert sorted(df.columns) == sorted(rel.columns)
+    assert sorted(df.dtypes) == sorted((c, KINDS[str(t)]) for c, t in zip(rel.columns, rel.types))
     assert got == sorted(tuple(plain(r[i]) for i in order) for r in rel.fetchall())
 
 
