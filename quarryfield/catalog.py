@@ -24,7 +24,7 @@ ORACLES: dict[str, str] = {}
 _EVENT = """WITH e AS (SELECT event_id + 1 AS entry_id, user_id % 3 + 1 AS tenant_id, event_type,
   CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS value, user_id, CAST(date_trunc('second', ts) AS TIMESTAMP) AS ts,
   props, event_id % 17 = 0 AS gone, event_id % 10 <> 0 AS present FROM events) """
-_CUSTOMER = "WITH e AS (SELECT c_custkey + 1 AS entry_id, c_nationkey % 3 + 1 AS tenant_id, c_name, c_mktsegment, c_acctbal, CAST(c_nationkey AS BIGINT) AS c_nationkey FROM customer) "
+_CUSTOMER = "WITH e AS (SELECT c_custkey + 1 AS entry_id, CAST(c_nationkey % 3 + 1 AS BIGINT) AS tenant_id, c_name, c_mktsegment, c_acctbal, CAST(c_nationkey AS BIGINT) AS c_nationkey FROM customer) "
 _ORDER = "WITH e AS (SELECT o_orderkey + 1 AS entry_id, o_custkey % 3 + 1 AS tenant_id, o_orderstatus, o_orderpriority, o_totalprice, o_orderdate, o_custkey FROM orders) "
 _PART = "WITH e AS (SELECT p_partkey + 1 AS entry_id, 1 AS tenant_id, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part) "
 _BASE = {"event": (EVENT, _EVENT), "customer": (CUSTOMER, _CUSTOMER), "order": (ORDER, _ORDER), "part": (PART, _PART)}

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import Registry
-from ..types import DATETIME, INT, NUMERIC, STRING
+from ..types import DATETIME, INT, NUMERIC, SPARK_TYPE, STRING
 
 TENANTS = 3
 
@@ -59,7 +59,7 @@ def records(spark: SparkSession, sf_dir: str, source: Source) -> tuple[DataFrame
     typed, groups = {}, {}
     for name, view in reg.view(1).items():
         if view.field.filterable:
-            typed[view.column] = F.expr(source.values.get(name, name))
+            typed[view.column] = F.expr(source.values.get(name, name)).cast(SPARK_TYPE[view.field.declared_type])
             groups.setdefault(view.group, set()).add(name)
     # Fields of one page share its presence; the first field with a rule decides.
     present = {g: F.expr(next((presence[n] for n in sorted(names) if n in presence), "true")) for g, names in groups.items()}
