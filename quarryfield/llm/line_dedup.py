@@ -130,14 +130,17 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     start, end = _edges(F.col("m"), _blocks(F.col("m")), F.when(F.col("longer"), F.col("i") - own).otherwise(F.col("i")))
     each = each.select(*_PLACE, "key", "longer", start.alias("at"), (end - start + F.col("longer").cast("int")).alias("len"))
     matched = each.join(small_side(shared, shared.count(), 32), "key")
-    by_row = materialise(matched.groupBy("doc_id", "row").agg(F.collect_list(F.struct("nth", "key", "longer", "at", "len")).alias("blocks"), F.count(F.lit(1)).alias("n")), f"{where}/matched")
+    by_line = matched.groupBy(*_PLACE).agg(F.collect_list(F.struct("key", "longer", "at", "len")).alias("blocks"), F.count(F.lit(1)).alias("n"))
+    by_row = materialise(by_line.groupBy("doc_id", "row").agg(F.collect_list(F.struct("nth", "blocks")).alias("found"), F.sum("n").alias("n")), f"{where}/matched")
     size = by_row.agg(F.sum("n"), F.count(F.lit(1))).first()
-    side = small_side(by_row, 1, 40 * (size[0] or 0) + 48 * size[1])
+    side = small_side(by_row, 1, 48 * (size[0] or 0) + 48 * size[1])
 
-    # Level 2: word-deletion variants of the shared blocks, with the lines' words at hand.
+    # Level 2: word-deletion variants of the shared blocks.  The matched lines' texts are written once.
     texts = rows.join(side, _same_row(rows, side))
-    texts = texts.select(rows["doc_id"], rows["row"], F.split(normalise(rows["text"]), "\n", -1).alias("split"), F.explode("blocks").alias("b"))
-    texts = texts.select("doc_id", "row", "b.*", F.trim(F.get("split", F.col("b.nth"))).alias("line")).withColumn("block", F.slice(F.transform(F.split("line", " "), lambda x: F.xxhash64(x)), F.col("at") + 1, F.col("len")))
+    texts = texts.select(rows["doc_id"], rows["row"], F.split(normalise(rows["text"]), "\n", -1).alias("split"), F.explode("found").alias("f"))
+    texts = materialise(texts.select("doc_id", "row", "f.*", F.trim(F.get("split", F.col("f.nth"))).alias("line")), f"{where}/matched-lines")
+    hashed = texts.select(*_PLACE, F.transform(F.split("line", " "), lambda x: F.xxhash64(x)).alias("w"), F.explode("blocks").alias("b"))
+    blocks = hashed.select(*_PLACE, "b.*", F.slice("w", F.col("b.at") + 1, F.col("b.len")).alias("block"))
     block, length = F.col("block"), F.col("len")
     without = lambda j: (F.slice(block, F.lit(1), j), F.slice(block, j + 2, length - j - 1))
     word = F.transform(
@@ -146,7 +149,7 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     )
     word = F.when(length > 0, word).otherwise(F.array().cast("array<struct<g:bigint,role:string>>"))
     itself = F.array(F.struct(F.xxhash64("key", F.lit(0), block).alias("g"), F.lit("short").alias("role")))
-    keyed = materialise(texts.select(*_PLACE, F.explode(F.when(F.col("longer"), word).otherwise(F.concat(itself, word))).alias("k")).select(*_PLACE, "k.*"), f"{where}/keyed")
+    keyed = materialise(blocks.select(*_PLACE, F.explode(F.when(F.col("longer"), word).otherwise(F.concat(itself, word))).alias("k")).select(*_PLACE, "k.*"), f"{where}/keyed")
     least = lambda role: F.min(F.when(F.col("role") == role, _place())).alias(role)
     heads = keyed.groupBy("g").agg(least("same"), least("short"), least("long"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     partner = F.when(F.col("role") == "same", F.col("same")).when(F.col("role") == "short", F.col("long")).otherwise(F.col("short"))
@@ -154,7 +157,7 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     pairs = pairs.groupBy("place").agg(F.min("partner").alias("partner"))
 
     # Verification on the lines themselves.
-    words = materialise(texts.select(_place().alias("place"), "line").distinct(), f"{where}/matched-lines")
+    words = texts.select(_place().alias("place"), "line").distinct()
     mine, other = words.select("place", F.col("line").alias("x")), words.select(F.col("place").alias("partner"), F.col("line").alias("y"))
     near = pairs.join(mine, "place").join(other, "partner").where(within_one_edit(F.col("x"), F.col("y"))).select(F.col("place").alias("first"), F.lit(True).alias("near"))
 
