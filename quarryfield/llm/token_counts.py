@@ -32,8 +32,9 @@ from pyspark.sql.utils import AnalysisException
 from .common import materialise, small_side, text_or_empty, work_dir
 from .encoders import encoder, slices, tokenizer_path
 
-_CACHE = T.StructType([T.StructField("digest", T.StringType()), T.StructField("n_tokens", T.LongType()), T.StructField("tokenizer", T.StringType())])
-_ROW_BYTES = 120
+_CACHE = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("tokenizer", T.StringType())])
+#: A digest of 32 bytes, an id or a count, and the overhead of a hashed row.
+_ROW_BYTES = 160
 
 
 def tokenizer_digest(path: str) -> str:
@@ -56,7 +57,7 @@ def _count(path: str):
         e = encoder(path)
         for batch in batches:
             for digests, texts in slices(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array([len(x) // 4 for x in e.batch(texts)], pa.int64())], names=["digest", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([len(x) // 4 for x in e.batch(texts)], pa.int64())], names=["digest", "n_tokens"])
 
     return run
 
@@ -71,7 +72,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, cache: str | Non
     version, where = tokenizer_digest(tokenizer), work_dir(spark, "token-counts")
     cache = cache or f"{where}/cache"
     text = text_or_empty(text_col)
-    source = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.sha2(F.encode(text, "UTF-8"), 256).alias("digest"))
+    source = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.unhex(F.sha2(F.encode(text, "UTF-8"), 256)).alias("digest"))
     keys = materialise(source.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), f"{where}/keys")
 
     stored = read_cache(spark, cache, version)
