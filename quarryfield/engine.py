@@ -271,6 +271,23 @@ class Engine:
             bad = lambda df, _b: self._quarantine(df.where("reason <> 'missing_entry_data'").withColumn("error_message", F.concat_ws(", ", "faults")), "sync_queue")
             drain(self.spark, f"{self.root}/outbox", f"{self.root}/outbox-progress/{model_id}", mine, lambda v=view: v, good, bad).awaitTermination()
 
+    def reconcile(self) -> str:
+        """One round of background work in fixed order: queued entries, then one import.
+
+        ``capacity_wait``: some field still has no slot, so entries stay queued for the next page.
+        """
+        if self.store.version() is not None and self._exists(f"{self.root}/outbox"):
+            self.drain_outbox()
+        waiting = any(f.filterable and self.registry.view(f.model_id)[f.name].slot is None for f in self.registry.fields)
+        if waiting:
+            self.events.emit("reconciler", "capacity_wait")
+            return "capacity_wait"
+        return "import" if self.run_next_import() else "idle"
+
+    def _exists(self, uri: str) -> bool:
+        path, fs = self.store.file(uri)
+        return fs.exists(path)
+
     def submit_export(self, tenant_id: int, model_id: int, kind: str, filter_text: str | None = None) -> Job:
         job = self.exports.submit_export(tenant_id, model_id, kind, filter_text)
         self.events.emit("api", "export_accepted", tenant_id=tenant_id, job=job.id)

@@ -305,3 +305,15 @@ def test_command_line(engine, spark, capsys):
     again.load()
     assert again.exports.rows[1].status == "completed"
     assert '"moves": 0' in capsys.readouterr().out
+
+
+def test_reconcile_waits_for_capacity(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/store")
+    m = e.define_model(1, "m", [("n", "int")])
+    assert e.reconcile() == "capacity_wait"
+    e.write(1, m, {"n": 5})
+    e.watch()
+    e.submit_bulk_write([{"tenantId": 1, "modelId": m, "fields": {"n": 6}}])
+    assert e.reconcile() == "import" and e.reconcile() == "idle"
+    f = json.dumps({"filter": {"op": "gte", "field": {"model": "m", "name": "n"}, "value": 5}})
+    assert [r["entry_id"] for r in e.scan(1, m, f).orderBy("entry_id").collect()] == [1, 2]

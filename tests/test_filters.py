@@ -163,3 +163,43 @@ def test_cursors_and_requests():
     for t in (0, -3, True):
         with pytest.raises(InvalidTenantId):
             search.Request(t, 1).check(Settings())
+
+
+def conforms(schema, value, root):
+    """The few keywords that the schema uses."""
+    if "$ref" in schema:
+        return conforms(root["$defs"][schema["$ref"].rsplit("/", 1)[1]], value, root)
+    for key, count in (("oneOf", lambda n: n == 1), ("anyOf", lambda n: n >= 1)):
+        if key in schema and not count(sum(conforms(s, value, root) for s in schema[key])):
+            return False
+    kinds = {"object": dict, "array": list, "string": str, "number": (int, float), "boolean": bool}
+    wanted = schema.get("type")
+    if wanted:
+        wanted = wanted if isinstance(wanted, list) else [wanted]
+        if not any(isinstance(value, kinds[k]) and (k == "boolean" or not isinstance(value, bool)) for k in wanted):
+            return False
+    if "const" in schema and value != schema["const"] or "enum" in schema and value not in schema["enum"]:
+        return False
+    if isinstance(value, str) and not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", 10**9):
+        return False
+    if isinstance(value, list) and schema.get("type") == "array":
+        return schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", 10**9) and all(conforms(schema["items"], v, root) for v in value)
+    if isinstance(value, dict) and "properties" in schema:
+        return all(k in value for k in schema["required"]) and all(k in schema["properties"] and conforms(schema["properties"][k], v, root) for k, v in value.items())
+    return True
+
+
+def test_schema_agrees_with_the_decoder():
+    from quarryfield.plans.schema import json_schema
+
+    schema = json_schema()
+    for node in ACCEPTED:
+        assert conforms(schema, json.loads(wire(node)), schema), node
+    assert conforms(schema, {}, schema) and not conforms(schema, {"version": "1", "other": 3}, schema)
+    for text, _code, _pointer in REJECTED:
+        try:
+            value = json.loads(text)
+        except ValueError:
+            continue
+        if len(text) < 60000 and "NaN" not in text:
+            assert not conforms(schema, value, schema), text
