@@ -22,12 +22,17 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 ASCII_SPACE = "\t\n\x0b\x0c\r "
 
 
+_where_unset: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set to a temporary one only where none is named (tests)."""
+    """The folder all executors share; a temporary one, for each application, only where none is named (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="quarryfield-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        if app not in _where_unset:
+            _where_unset[app] = "file://" + tempfile.mkdtemp(prefix="quarryfield-")
+        where = _where_unset[app]
     return where.rstrip("/")
 
 
@@ -51,14 +56,24 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def blanks(text: Column) -> Column:
+    """Every ASCII white space character as a blank.
+
+    Line breaks are replaced byte-wise; the other four are rare and looked for first, as
+    translating decodes every character.
+    """
+    rare = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\x0c"))
+    return F.when(rare, F.translate(text, ASCII_SPACE, " " * 6)).otherwise(F.replace(text, F.lit("\n"), F.lit(" ")))
+
+
 def word_count(text: Column) -> Column:
     """Words of a text: maximal runs of characters other than ASCII white space.
 
-    A word starts where a non-space follows a space or the begin, so the count is the
-    number of space runs between words after trimming, without building an array.
+    Where no blanks meet, words are one more than blanks; other texts are searched.
     """
-    one = F.translate(text, ASCII_SPACE, " " * 6)
-    return F.regexp_count(one, F.lit(r"[^ ]+")).cast("long")
+    one = F.trim(blanks(text))
+    simple = F.octet_length(one) - F.octet_length(F.replace(one, F.lit(" "), F.lit(""))) + 1
+    return F.when(one == "", 0).when(F.contains(one, F.lit("  ")), F.regexp_count(one, F.lit("[^ ]+"))).otherwise(simple).cast("long")
 
 
 def worker_threads_off() -> None:
