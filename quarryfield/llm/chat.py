@@ -26,7 +26,7 @@ each, as the method asks, so their text grows with the square of a conversation'
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 END = "</turn>\n"
@@ -57,20 +57,19 @@ def format_conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str
 def expand(rows: DataFrame, prompts: bool = True, **cols: str) -> DataFrame:
     """One row for each assistant turn: conv_id, example (from 0), prompt, completion, tail, last."""
     formatted = format_conversations(rows, **cols)
-    whole = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END))))
-    # Where each reply starts and ends in the formatted text, from running lengths.
-    sized = F.transform("turns", lambda t: F.struct(t["reply"].alias("reply"), F.char_length(t["head"]).alias("head"), F.char_length(t["body"]).alias("body")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<at:bigint,n:bigint>>").alias("spans"))
-
-    def step(acc: Column, t: Column) -> Column:
-        body_at = acc["at"] + t["head"]
-        span = F.array(F.struct(body_at.alias("at"), t["body"].cast("long").alias("n")))
-        return F.struct((body_at + t["body"] + F.lit(len(END))).alias("at"), F.when(t["reply"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    spans = F.aggregate(sized, start, step, lambda acc: acc["spans"])
-    df = formatted.select("conv_id", whole.alias("whole"), spans.alias("spans"))
-    df = df.select("conv_id", "whole", F.greatest(F.size("spans"), F.lit(1)).alias("n"), F.posexplode_outer("spans").alias("example", "span"))
-    df = df.withColumn("example", F.coalesce("example", F.lit(0))).withColumn("last", F.col("example") == F.col("n") - 1)
+    texts = formatted.select(
+        "conv_id", F.concat_ws("", F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END)))).alias("whole"),
+        F.size(F.filter("turns", lambda t: t["reply"])).alias("n"),
+    )
+    # Where each reply starts in the formatted text: running lengths, over rows that hold no text.
+    turns = formatted.select("conv_id", F.posexplode("turns").alias("pos", "t"))
+    turns = turns.select("conv_id", "pos", F.col("t.reply").alias("reply"), F.char_length("t.head").alias("head"), F.char_length("t.body").alias("body"))
+    before = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.col("head") + F.col("body") + F.lit(len(END))).over(before), F.lit(0)) + F.col("head")
+    example = F.coalesce(F.sum(F.col("reply").cast("int")).over(before), F.lit(0)).cast("int")
+    replies = turns.select(F.col("conv_id").alias("of"), "reply", F.struct(at.alias("at"), F.col("body").alias("n")).alias("span"), example.alias("example")).where("reply").drop("reply")
+    df = texts.join(replies, texts["conv_id"].eqNullSafe(replies["of"]), "left").withColumn("example", F.coalesce("example", F.lit(0)))
+    df = df.withColumn("last", F.col("example") == F.greatest(F.col("n"), F.lit(1)) - 1)
     at, n = F.col("span.at").cast("int"), F.col("span.n").cast("int")
     prompt = F.when(F.col("span").isNull(), F.col("whole")).otherwise(F.substring("whole", F.lit(1), at))
     return df.select(
