@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, materialise, small_side, work_dir
+from .common import materialise, small_side, work_dir
 
 MIN_WORDS = 8
 #: Lines of up to BLOCK_LINE_WORDS words have BLOCKS blocks; longer ones half the square root of their words.
