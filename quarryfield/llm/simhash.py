@@ -285,6 +285,9 @@ BAND_BITS = 16
 #: similarity 0.8 differs in about a sixth of its bits, an unrelated one in half.
 SKETCH_WORDS = 4
 SKETCH_BITS = 52
+#: Members of a candidate group that meet in one task, and the pivots of a larger group's first round.
+GROUP_ROWS = 128
+FIRST_PIVOTS = 16
 
 
 def _wide(docs: DataFrame, shingle: int) -> DataFrame:
@@ -364,6 +367,128 @@ def _shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
+def _decide(min_similarity: float):
+    """Rows (key, pivot, node, shingles) sorted by key.
+
+    Gives links a, b that connect whatever the key's members, and its pivots with its members,
+    link at ``min_similarity``; where there are pivots also a row a, score for each member: the
+    sum of its similarities to them.
+    """
+
+    def group(nodes: np.ndarray, pivot: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+        words, flat = np.unique(flat, return_inverse=True)
+        end = np.cumsum(sizes)
+
+        def shared(i: int) -> np.ndarray:
+            mine = np.zeros(len(words), dtype=bool)
+            mine[flat[end[i] - sizes[i] : end[i]]] = True
+            count = np.concatenate([[0], np.cumsum(mine[flat])])
+            return count[end] - count[end - sizes]
+
+        members, pivots, score, pairs = np.flatnonzero(~pivot), np.flatnonzero(pivot), np.zeros(len(nodes)), []
+        rest = members if not len(pivots) else members[:0]
+        while len(rest) > 1:
+            queue, rest = [rest[0]], rest[1:]
+            while queue and len(rest):
+                at = queue.pop()
+                common = shared(at)
+                near = (common >= min_similarity * (sizes[at] + sizes - common))[rest]
+                if near.any():
+                    pairs += [(at, x) for x in rest[near]]
+                    queue += rest[near].tolist()
+                    rest = rest[~near]
+        for at in pivots:
+            common = shared(at)
+            union = sizes[at] + sizes - common
+            score += common / np.maximum(union, 1)
+            pairs += [(at, x) for x in members[(common >= min_similarity * union)[members]] if nodes[x] != nodes[at]]
+        return _forest(np.array(pairs)) if pairs else [], score
+
+    def take(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not parts:
+            return
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        keys, pivot, nodes = (rows.column(i).to_numpy() for i in range(3))
+        lists = rows.column(3).combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        cut = np.flatnonzero(np.diff(keys)) + 1
+        a, b, scores = [], [], []
+        for lo, hi in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(keys)]])):
+            pairs, score = group(nodes[lo:hi], pivot[lo:hi], np.diff(ends[lo : hi + 1]).astype(np.int64), flat[ends[lo] : ends[hi]])
+            a += [nodes[lo + x] for x, _ in pairs]
+            b += [nodes[lo + y] for _, y in pairs]
+            scores += [None] * len(pairs)
+            if pivot[lo:hi].any():
+                who = np.flatnonzero(~pivot[lo:hi])
+                a += nodes[lo + who].tolist()
+                b += [None] * len(who)
+                scores += score[who].tolist()
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(scores, pa.float64())], names=["a", "b", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
+            if cut:
+                yield from take([*held, batch.slice(0, cut)])
+                held = []
+            elif held and held[-1].column(0)[-1].as_py() != keys[0]:
+                yield from take(held)
+                held = []
+            held.append(batch.slice(cut))
+        yield from take(held)
+
+    return run
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, min_similarity: float, where: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Links a, b that connect whatever similar pairs connect within each component of the candidate ``pairs``.
+
+    Members of a component meet in tasks of about ``group_rows``.  In a component of more, some
+    members at a time are pivots, which meet all the others: four times as many each round, those
+    first that were most similar to the pivots before.  A pair is left out only where both
+    already have one root, so rounds end when all members that were no pivot have one.
+    """
+    groups = materialise(connected_components(pairs, f"{where}/groups").select("node", F.col("root").alias("comp")), f"{where}/members")
+    large = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > group_rows)
+    large = materialise(large.select("comp", F.ceil(F.col("m") / group_rows).alias("chunks")), f"{where}/large")
+    chunk = F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1)))
+    dealt = groups.join(small_side(large, large.count(), 16), "comp", "left").select("comp", "node", chunk.alias("chunk"), "chunks")
+
+    def meet(rows: DataFrame, name: str) -> DataFrame:
+        keyed = rows.select(F.xxhash64("comp", "chunk").alias("key"), "pivot", "node").join(sets, "node").select("key", "pivot", "node", "shingles")
+        return materialise(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_decide(min_similarity), "a long, b long, score double"), f"{where}/{name}")
+
+    links = meet(dealt.withColumn("pivot", F.lit(False)), "met").select("a", "b")
+    if large.isEmpty():
+        return links
+    big = materialise(dealt.where("chunks IS NOT NULL"), f"{where}/big")
+    joined = materialise(links.join(big.select(F.col("node").alias("a")), "a", "left_semi"), f"{where}/joined-0")
+    state, turn, most = big.select("comp", "node", F.lit(0.0).alias("score"), F.lit(False).alias("done")), 0, FIRST_PIVOTS
+    while True:
+        roots = connected_components(joined, f"{where}/roots-{turn}")
+        known = state.join(roots, "node", "left").withColumns({"root": F.coalesce("root", "node"), "score": F.col("score") + F.pmod(F.xxhash64("node"), F.lit(1 << 20)) * 1e-12})
+        shares = F.percentile_approx("score", [1 - 2.0**-j for j in range(1, 25)], 1_000_000)
+        open_ = known.where("NOT done").groupBy("comp").agg(F.count_distinct("root").alias("roots"), F.count(F.lit(1)).alias("n"), shares.alias("q")).where("roots > 1")
+        step = F.floor(F.log2(F.col("n") / most)).cast("int")
+        limits = materialise(open_.select("comp", F.when(F.col("n") > 2 * most, F.element_at("q", F.least(step, F.lit(24)))).otherwise(F.lit(-1.0)).alias("limit")), f"{where}/limits-{turn}")
+        if limits.isEmpty():
+            return links.union(joined)
+        live = materialise(known.join(limits, "comp", "left").select("comp", "node", "score", "done", F.col("limit").isNotNull().alias("live"), (~F.col("done") & F.coalesce(F.col("score") >= F.col("limit"), F.lit(False))).alias("pivot")), f"{where}/live-{turn}")
+        members = big.join(live.where("live").select("node"), "node", "left_semi").select("comp", "chunk", "node", F.lit(False).alias("pivot"))
+        pivots = live.where("pivot").select("comp", "node").join(large, "comp").select("comp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "node", F.lit(True).alias("pivot"))
+        met = meet(members.union(pivots), f"met-{turn}")
+        joined = materialise(joined.union(met.where("b IS NOT NULL").select("a", "b")), f"{where}/joined-{turn + 1}")
+        scores = met.where("b IS NULL").select(F.col("a").alias("node"), F.col("score").alias("more"))
+        state = materialise(live.join(scores, "node", "left").select("comp", "node", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), (F.col("done") | F.col("pivot")).alias("done")), f"{where}/state-{turn}")
+        turn, most = turn + 1, most * 4
+
+
 def distinct_documents(docs: DataFrame, shingle: int = 5, min_similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest id.
 
@@ -371,7 +496,8 @@ def distinct_documents(docs: DataFrame, shingle: int = 5, min_similarity: float
     At 0.8 about a sixth of the bits of two SimHashes differ, far beyond the few bits that
     cells of one 64-bit fingerprint can bridge, so candidates are pairs that agree on one of
     64 bands of a 1,024-bit fingerprint and differ in few bits of a 256-bit part of it; the
-    README gives the measured recall.  The decision is made on the shingles themselves.
+    README gives the measured recall.  The decision is made on the shingles themselves, for
+    whatever pairs the candidates connect.
 
     Texts without a word are copies of one another.  Rows equal in id and text are one.
     """
@@ -394,9 +520,7 @@ def distinct_documents(docs: DataFrame, shingle: int = 5, min_similarity: float
     side = small_side(chosen, chosen.count(), 48)
     texts = source.join(side, source["doc_id"].eqNullSafe(side["doc_id"]) & (source["row"] == side["row"])).select(side["node"], source["text"])
     sets = materialise(_shingle_sets(texts, shingle).dropDuplicates(["node"]), f"{where}/shingles")
-    x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    linked = pairs.join(x, "a").join(y, "b").where(common >= min_similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    linked = _similar(pairs, sets, min_similarity, where)
     roots = connected_components(linked, f"{where}/components")
 
     placed = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")

@@ -130,6 +130,46 @@ def test_recall_of_near_copies(spark, edits, least):
     assert found >= least * len(rows) / 2, (found, len(rows) / 2)
 
 
+def test_similar_pairs_behind_rejected_candidates(spark):
+    """Copies of one text that are near it and not near each other; candidate groups over several tasks."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for g in range(3):
+        x = r.choices(words, k=300)
+        texts = [x]
+        for _ in range(1000 if g == 0 else 30):
+            y = x[:]
+            for k in r.sample(range(5, 295), r.randint(3, 6)):
+                y[k] = r.choice(words)
+            texts.append(y)
+        r.shuffle(texts)
+        rows += [(len(rows) + i, " ".join(y)) for i, y in enumerate(texts)]
+    sets = {d: set(zip(*(t.split()[i:] for i in range(5)))) for d, t in rows}
+    root = {d: d for d in sets}
+    starts = (0, 1001, 1032, 1063)
+    for lo, hi in zip(starts, starts[1:]):
+        for d in range(lo, hi):
+            for e in range(lo, d):
+                if root[d] != root[e] and len(sets[d] & sets[e]) >= 0.8 * len(sets[d] | sets[e]):
+                    a, b = root[e], root[d]
+                    root.update({k: min(a, b) for k in range(lo, hi) if root[k] in (a, b)})
+    want = {d for d in sets if root[d] == d}
+    got = simhash.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(g.doc_id for g in got.collect()) == sorted(want)
+
+
+def test_every_pair_of_a_large_group_is_tried(spark, tmp_path):
+    """A chain of candidates that are not similar, except for pairs far apart in it."""
+    sets = [(i, [i * 100 + j for j in range(10)]) for i in range(60)]
+    sets += [(60 + i, [i * 100 + j for j in range(9)]) for i in range(0, 60, 7)]
+    nodes = [n for n, _ in sets]
+    pairs = spark.createDataFrame(list(zip(nodes, nodes[1:])), "a long, b long")
+    table = spark.createDataFrame(sets, "node long, shingles array<long>")
+    got = simhash._similar(pairs, table, 0.8, f"file://{tmp_path}/similar", group_rows=8).collect()
+    assert {(min(g), max(g)) for g in got} == {(i, 60 + i) for i in range(0, 60, 7)}
+
+
 def test_distinct_documents_edges(spark):
     t = " ".join(f"a{i}" for i in range(100))
     rows = [(5, t, "x"), (3, t, "x"), (3, t, "x"), (None, t, "x"), (9, None, "x"), (8, " ", "x"), (7, "one two", "x"), (6, "One two", "y"), (4, "one three", "x")]
