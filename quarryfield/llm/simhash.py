@@ -290,6 +290,18 @@ GROUP_ROWS = 128
 FIRST_PIVOTS = 16
 
 
+def _wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of 64 * WIDE_WORDS bits over distinct shingle hashes, as the decision counts each shingle once."""
+    counts = np.zeros((WIDE_WORDS, 64), dtype=np.int64)
+    for i in range(0, len(hashes), _STEP):
+        counts += _bit_counts(_widen(hashes[i : i + _STEP], WIDE_WORDS))
+    return np.packbits(2 * counts > len(hashes), axis=1).view(">u8").astype(np.uint64).ravel()
+
+
+def _distinct_hashes(text: str, shingle: int) -> np.ndarray:
+    return np.unique(_hashes(list(_grams(text, shingle)[0]), SEED))
+
+
 def _wide(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, row (hash of the text), sketch and all words, as signed longs."""
 
@@ -299,7 +311,7 @@ def _wide(docs: DataFrame, shingle: int) -> DataFrame:
             for rows, texts in slices(batch.select([1, 2]), 1024):
                 ids = batch.column(0).slice(at, len(texts))
                 at += len(texts)
-                fps = np.array([fingerprint(t, shingle, words=WIDE_WORDS) for t in texts], dtype=np.uint64).reshape(len(texts), WIDE_WORDS).view(np.int64)
+                fps = np.array([_wide_fingerprint(_distinct_hashes(t, shingle)) for t in texts], dtype=np.uint64).reshape(len(texts), WIDE_WORDS).view(np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * WIDE_WORDS), pa.array(fps.ravel()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(rows, pa.int64()), flat], names=["doc_id", "row", "wide"])
 
@@ -361,7 +373,7 @@ def _shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for nodes, texts in slices(batch, 256):
-                sets = [np.unique(_hashes(list(_grams(t, shingle)[0]), SEED)).view(np.int64) for t in texts]
+                sets = [_distinct_hashes(t, shingle).view(np.int64) for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
     return rows.select("node", "text").mapInArrow(run, "node long, shingles array<long>")

@@ -170,6 +170,20 @@ def test_every_pair_of_a_large_group_is_tried(spark, tmp_path):
     assert {(min(g), max(g)) for g in got} == {(i, 60 + i) for i in range(0, 60, 7)}
 
 
+def test_recall_of_repeated_passages(spark):
+    """Texts with nearly the same shingle set, one of which repeats a passage."""
+    r = random.Random(8)
+    words, rows = [f"w{i}" for i in range(5000)], []
+    for i in range(60):
+        x = r.choices(words, k=122)
+        y = x[:62] + x[50:62] * (3 + i % 4) + x[62:]
+        a, b = (set(zip(*(w[j:] for j in range(5)))) for w in (x, y))
+        assert len(a & b) >= 0.9 * len(a | b)
+        rows += [(2 * i, " ".join(x)), (2 * i + 1, " ".join(y))]
+    got = simhash.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(g.doc_id for g in got) == list(range(0, 120, 2))
+
+
 def test_distinct_documents_edges(spark):
     t = " ".join(f"a{i}" for i in range(100))
     rows = [(5, t, "x"), (3, t, "x"), (3, t, "x"), (None, t, "x"), (9, None, "x"), (8, " ", "x"), (7, "one two", "x"), (6, "One two", "y"), (4, "one three", "x")]
