@@ -66,6 +66,11 @@ _MORE = {
 }
 
 
+#: Every match of the obfuscated mail pattern has one of each, in any case.
+_AT = ("(at)", "[at]", "{at}", " at ")
+_DOT = (".", "(dot)", "[dot]", "{dot}", " dot ")
+
+
 def luhn(digits: str) -> bool:
     odd, even = digits[-1::-2], digits[-2::-2]
     return (sum(map(int, odd)) + sum(sum(divmod(2 * int(d), 10)) for d in even)) % 10 == 0
@@ -124,8 +129,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def more_candidates(text: str) -> list[tuple[int, int, int]]:
     out = []
-    low = text.lower() if "dot" in text or "DOT" in text or "at" in text and ("(at)" in text or "[at]" in text or "{at}" in text or " at " in text) else ""
-    if low and ("(at)" in low or "[at]" in low or "{at}" in low or " dot " in low):
+    low = text.lower()
+    if any(x in low for x in _AT) and any(x in low for x in _DOT):
         out += [(m.start(), 0, m.end()) for m in _MORE["email"].finditer(text)]
     if _DIGIT.search(text):
         if ":" in text or "[.]" in text:

@@ -43,6 +43,21 @@ def test_base_spans_of_noise(text):
     assert pii.base_spans(text) == brute_base(text)
 
 
+MAIL_BITS = ["jane", "Reach", "example", "com", " ", " at ", " AT ", "(at)", "[AT]", "{At}", "at", ".", " dot ", " DOT ", "(dot)", "[Dot]", "{DOT}", "\n", "İ", "1"]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(MAIL_BITS), max_size=12))
+def test_every_obfuscated_mail_is_a_candidate(parts):
+    text = "".join(parts)
+    assert [(a, b) for a, k, b in pii.more_candidates(text) if k == 0] == [m.span() for m in pii._MORE["email"].finditer(text)]
+
+
+def test_obfuscated_mail_notations():
+    for text in ("Reach jane [AT] example.com", "jane at example[dot]com", "jane at example(dot)com", "jane at example.com", "JANE {AT} EXAMPLE {DOT} COM"):
+        assert [k for _, k, _ in pii.more_candidates(text)] == [0], text
+
+
 def test_long_texts_take_linear_time():
     for text in ("a" * 2_000_000 + "@", "1" * 2_000_000 + ".1.1", "1." * 1_000_000, "@" * 300_000, "a@" * 500_000, "+1" + " " * 2_000_000):
         assert len(pii.base_spans(text)) < 300_000
