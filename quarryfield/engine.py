@@ -18,7 +18,7 @@ from .plans.wire import decode
 from .registry import Registry
 from .sources.store import Store
 from .streaming.imports import run_import
-from .streaming.outbox import drain, enqueue
+from .streaming.outbox import drain, enqueue, requeue
 from .types import FAMILY, LIVE, SPARK_TYPE, Settings
 
 
@@ -256,7 +256,10 @@ class Engine:
         return n
 
     def drain_outbox(self) -> None:
-        """Fill in typed values for entries whose field had no slot when they were written."""
+        """Fill in typed values for entries whose field had no slot when they were written.
+
+        Entries with a field that still has none are queued again.
+        """
         for f in self.registry.fields:
             if f.filterable and self.registry.view(f.model_id)[f.name].slot is None:
                 self.registry = self.registry.reserve(f, "assigned", indexed_only=True)
@@ -269,7 +272,8 @@ class Engine:
         for model_id, view in by_model.items():
             mine = lambda m=model_id, v=view: self.records(v).where(F.col("model_id") == m)
             bad = lambda df, _b: self._quarantine(df.where("reason <> 'missing_entry_data'").withColumn("error_message", F.concat_ws(", ", "faults")), "sync_queue")
-            drain(self.spark, f"{self.root}/outbox", f"{self.root}/outbox-progress/{model_id}", mine, lambda v=view: v, good, bad).awaitTermination()
+            waiting = lambda df, b, m=model_id: None if df.isEmpty() else requeue(df, f"{self.root}/outbox", f"waiting-{m}-{b}")
+            drain(self.spark, f"{self.root}/outbox", f"{self.root}/outbox-progress/{model_id}", mine, lambda v=view: v, good, bad, waiting).awaitTermination()
 
     def reconcile(self) -> str:
         """One round of background work in fixed order: queued entries, then one import.

@@ -37,6 +37,11 @@ def enqueue(entries: DataFrame, path: str) -> None:
     entries.select(F.col("entry_id").cast("long").alias("entry_id")).write.mode("append").parquet(path)
 
 
+def requeue(entries: DataFrame, path: str, name: str) -> None:
+    """Queue again under a name of the caller's: a second time replaces the first."""
+    entries.select(F.col("entry_id").cast("long").alias("entry_id")).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
 def drain(spark: SparkSession, queue_path: str, checkpoint: str, records: Callable[[], DataFrame], fields: Callable[[], dict[str, FieldView]], good: Callable[[DataFrame, int], None], bad: Callable[[DataFrame, int], None], waiting: Callable[[DataFrame, int], None] | None = None, files_per_batch: int | None = None) -> StreamingQuery:
     """Run over everything queued so far; ``good``, ``bad`` and ``waiting`` must be idempotent by batch id."""
 
@@ -50,7 +55,7 @@ def drain(spark: SparkSession, queue_path: str, checkpoint: str, records: Callab
         finally:
             done.unpersist()
 
-    source = spark.readStream.schema(QUEUE)
+    source = spark.readStream.schema(QUEUE).option("recursiveFileLookup", "true")
     if files_per_batch:
         source = source.option("maxFilesPerTrigger", files_per_batch)
     return source.parquet(queue_path).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

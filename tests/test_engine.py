@@ -317,3 +317,16 @@ def test_reconcile_waits_for_capacity(spark, tmp_path):
     assert e.reconcile() == "import" and e.reconcile() == "idle"
     f = json.dumps({"filter": {"op": "gte", "field": {"model": "m", "name": "n"}, "value": 5}})
     assert [r["entry_id"] for r in e.scan(1, m, f).orderBy("entry_id").collect()] == [1, 2]
+
+
+def test_queued_entries_wait_for_capacity(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/store")
+    m = e.define_model(1, "m", [("n", "int")])
+    e.write(1, m, {"n": 5})
+    assert e.reconcile() == "capacity_wait" and e.reconcile() == "capacity_wait"
+    e.watch()
+    assert e.reconcile() == "idle"
+    f = json.dumps({"filter": {"op": "eq", "field": {"model": "m", "name": "n"}, "value": 5}})
+    assert [r["entry_id"] for r in e.scan(1, m, f).collect()] == [1]
+    version = e.store.version()
+    assert e.reconcile() == "idle" and e.store.version() == version
