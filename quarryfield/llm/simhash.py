@@ -539,6 +539,6 @@ def distinct_documents(docs: DataFrame, shingle: int = 5, min_similarity: float
     keepers = materialise(placed.groupBy("root").agg(F.min("least").alias("k")).select("k.doc_id", "k.row"), f"{where}/keepers")
     side = small_side(keepers, keepers.count(), 48).withColumnsRenamed({"doc_id": "_k_id", "row": "_k_row"})
     kept = docs.withColumn("_row", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    kept = kept.join(side, kept[id_col].eqNullSafe(side["_k_id"]) & (kept["_row"] == side["_k_row"]), "left_semi").drop("_row")
+    kept = kept.join(side, kept[id_col].eqNullSafe(side["_k_id"]) & (kept["_row"] == side["_k_row"]), "left_semi")
     repeated = marked.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates([id_col])
+    return (kept if repeated.isEmpty() else kept.dropDuplicates([id_col, "_row"])).drop("_row")

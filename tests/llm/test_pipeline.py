@@ -191,6 +191,14 @@ def test_distinct_documents_edges(spark):
     assert sorted((g.doc_id, g.text) for g in got) == sorted([(3, t), (8, " "), (6, "One two"), (4, "one three")])
 
 
+def test_different_texts_with_one_id(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (4, text("c")), (4, text("d")), (7, text("e")), (7, text("e"))]
+    got = simhash.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.columns == ["doc_id", "text"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(rows[:5], key=str)
+
+
 def test_mixed_repeats_documents(spark):
     rows = [(i, "s" if i % 3 else None, "x " * (i % 7), str(i)) for i in range(200)] + [(1, "s", "x x x x", "dup"), (None, "s", "y", "none")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, extra string")
