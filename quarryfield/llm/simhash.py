@@ -303,7 +303,7 @@ def _distinct_hashes(text: str, shingle: int) -> np.ndarray:
 
 
 def _wide(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, row (hash of the text), sketch and all words, as signed longs."""
+    """doc_id, row (hash of the text), shingled (hash of the distinct shingles), wide fingerprint, as signed longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,11 +311,13 @@ def _wide(docs: DataFrame, shingle: int) -> DataFrame:
             for rows, texts in slices(batch.select([1, 2]), 1024):
                 ids = batch.column(0).slice(at, len(texts))
                 at += len(texts)
-                fps = np.array([_wide_fingerprint(_distinct_hashes(t, shingle)) for t in texts], dtype=np.uint64).reshape(len(texts), WIDE_WORDS).view(np.int64)
+                sets = [_distinct_hashes(t, shingle) for t in texts]
+                fps = np.array([_wide_fingerprint(x) for x in sets], dtype=np.uint64).reshape(len(texts), WIDE_WORDS).view(np.int64)
+                shingled = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * WIDE_WORDS), pa.array(fps.ravel()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(rows, pa.int64()), flat], names=["doc_id", "row", "wide"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(rows, pa.int64()), pa.array(shingled), flat], names=["doc_id", "row", "shingled", "wide"])
 
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("row", T.LongType()), T.StructField("wide", T.ArrayType(T.LongType()))])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("row", T.LongType()), T.StructField("shingled", T.LongType()), T.StructField("wide", T.ArrayType(T.LongType()))])
     return docs.select("doc_id", "row", "text").mapInArrow(run, schema)
 
 
@@ -516,7 +518,7 @@ def distinct_documents(docs: DataFrame, shingle: int = 5, min_similarity: float
     spark, where = docs.sparkSession, work_dir(docs.sparkSession, "near-copies")
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("row"), text_or_empty(text_col).alias("text"))
     marked = materialise(_wide(source, shingle), f"{where}/wide")
-    node = F.xxhash64("wide")
+    node = F.xxhash64("wide", "shingled")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row"))
     nodes = materialise(marked.groupBy(node.alias("node")).agg(least.alias("least"), F.any_value("wide").alias("wide"), F.count(F.lit(1)).alias("n")), f"{where}/nodes")
 
@@ -526,7 +528,7 @@ def distinct_documents(docs: DataFrame, shingle: int = 5, min_similarity: float
     grid = nodes.select(cell.alias("cell"), "node", *(word(i).alias(f"s{i}") for i in range(SKETCH_WORDS))).repartition("cell").sortWithinPartitions("cell")
     pairs = materialise(grid.mapInArrow(_link_bands, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{where}/pairs")
 
-    # Decision on the shingle sets of one document for each fingerprint that has a candidate.
+    # Decision on the shingle sets of one document for each shingle set that has a candidate.
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     chosen = materialise(nodes.join(asked, "node", "left_semi").select("node", "least.doc_id", "least.row"), f"{where}/chosen")
     side = small_side(chosen, chosen.count(), 48)

@@ -191,6 +191,26 @@ def test_distinct_documents_edges(spark):
     assert sorted((g.doc_id, g.text) for g in got) == sorted([(3, t), (8, " "), (6, "One two"), (4, "one three")])
 
 
+def test_texts_under_one_dominating_shingle(spark):
+    rows = [(i, "spam " * 300 + " ".join(f"{c}{k}" for k in range(40))) for i, c in enumerate("abcd")]
+    rows += [(4, "spam " * 200 + " ".join(f"a{k}" for k in range(40)))]  # the same shingles as the first
+    got = simhash.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(g.doc_id for g in got) == [0, 1, 2, 3]
+
+
+def test_equal_fingerprints_are_decided_on_shingles(spark, monkeypatch):
+    """Four texts of which all have the same wide fingerprint."""
+    rows = [(i, " ".join(f"{c}{k}" for k in range(40))) for i, c in enumerate("abc")] + [(3, " ".join(f"a{k}" for k in range(40)) + " end")]
+    wide = simhash._wide
+
+    def same(docs, shingle):
+        return wide(docs, shingle).withColumn("wide", F.array(*[F.lit(1).cast("long")] * simhash.WIDE_WORDS))
+
+    monkeypatch.setattr(simhash, "_wide", same)
+    got = simhash.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(g.doc_id for g in got) == [0, 1, 2]
+
+
 def test_different_texts_with_one_id(spark):
     text = lambda c: " ".join(f"{c}{i}" for i in range(60))
     rows = [(None, text("a")), (None, text("b")), (4, text("c")), (4, text("d")), (7, text("e")), (7, text("e"))]
