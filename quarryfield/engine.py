@@ -269,9 +269,16 @@ class Engine:
             if not df.isEmpty():
                 self.store.write(ingest.upsert(self.records(), df.withColumn("seq", F.lit(0)).join(self.records().select("entry_id", "created_at", "updated_at", "deleted_at"), "entry_id")))
 
+        def faulty(df: DataFrame, first: bool) -> DataFrame:
+            """Rows for quarantine; every stream reads the whole queue, so the first model's reports the ids that no model has."""
+            own = df.where("reason <> 'missing_entry_data'")
+            if first:
+                own = own.union(df.where("reason = 'missing_entry_data'").join(self.records().select("entry_id"), "entry_id", "left_anti").select(*df.columns))
+            return own.withColumn("error_message", F.concat_ws(", ", "faults"))
+
         for model_id, view in by_model.items():
             mine = lambda m=model_id, v=view: self.records(v).where(F.col("model_id") == m)
-            bad = lambda df, _b: self._quarantine(df.where("reason <> 'missing_entry_data'").withColumn("error_message", F.concat_ws(", ", "faults")), "sync_queue")
+            bad = lambda df, _b, m=model_id: self._quarantine(faulty(df, m == min(by_model)), "sync_queue")
             waiting = lambda df, b, m=model_id: None if df.isEmpty() else requeue(df, f"{self.root}/outbox", f"waiting-{m}-{b}")
             drain(self.spark, f"{self.root}/outbox", f"{self.root}/outbox-progress/{model_id}", mine, lambda v=view: v, good, bad, waiting).awaitTermination()
 

@@ -10,6 +10,7 @@ from quarryfield.engine import Engine
 from quarryfield.errors import ActiveExportCap, ArtifactError, CompactionCapacity, EntryNotFound, FieldNotFilterable, IncompatibleRetype, MalformedPayload, PayloadTooLarge, QuarantineEmpty, UncoercibleValue
 from quarryfield.events import VOCABULARY, Events
 from quarryfield.operators.planning import CompactionPlan
+from quarryfield.streaming.outbox import enqueue
 from quarryfield.types import Settings
 
 COMPANIES = [
@@ -330,3 +331,14 @@ def test_queued_entries_wait_for_capacity(spark, tmp_path):
     assert [r["entry_id"] for r in e.scan(1, m, f).collect()] == [1]
     version = e.store.version()
     assert e.reconcile() == "idle" and e.store.version() == version
+
+
+def test_missing_queued_entries_are_quarantined_once(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/store")
+    ids = [e.define_model(1, name, [("n", "int")]) for name in ("a", "b")]
+    e.write(1, ids[0], {"n": 5})
+    e.write(1, ids[1], {"n": 6})
+    enqueue(spark.createDataFrame([(999,)], "entry_id long"), f"file://{tmp_path}/store/outbox")
+    e.drain_outbox()
+    e.drain_outbox()
+    assert [(r["entry_id"], r["reason"]) for r in e.quarantined().collect()] == [(999, "missing_entry_data")]
