@@ -26,10 +26,12 @@ _where_unset: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one, for each application, only where none is named (tests)."""
+    """The folder all executors share; where none is named, a temporary one for a local session (tests), else an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        app = spark.sparkContext.applicationId
+        master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if app not in _where_unset:
             _where_unset[app] = "file://" + tempfile.mkdtemp(prefix="quarryfield-")
         where = _where_unset[app]
@@ -37,8 +39,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_dir(spark: SparkSession, operator: str) -> str:
-    """A fresh folder below the shared one."""
-    return f"{shared_dir(spark)}/quarryfield/{operator}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared one; it goes when the application ends, as results are read from it until then."""
+    where = f"{shared_dir(spark)}/quarryfield/{operator}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return where
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
 
 
 def materialise(df: DataFrame, where: str, codec: str = "zstd") -> DataFrame:
@@ -47,9 +64,9 @@ def materialise(df: DataFrame, where: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
-def small_side(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """``df`` marked for broadcast if ``rows`` counted rows of ``row_bytes`` stay below ``limit``; else as it is."""
-    return F.broadcast(df) if rows * row_bytes <= limit else df
+def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """``df`` marked for broadcast if ``rows`` counted rows of ``row_bytes`` stay below the limit; else as it is."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_LIMIT_BYTES else df
 
 
 def text_or_empty(name: str = "text") -> Column:

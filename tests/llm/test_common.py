@@ -1,19 +1,29 @@
 from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
-from quarryfield.llm.common import blanks, shared_dir, small_side, word_count
+from quarryfield.llm.common import blanks, shared_dir, small_side, unused, word_count
 
 from .test_native import TEXTS, WORD
 
 
-def fake(value):
-    return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: value or default), sparkContext=SimpleNamespace(applicationId="app-1"))
+def fake(value, master="local[4]"):
+    return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: value or default), sparkContext=SimpleNamespace(applicationId="app-1", master=master))
 
 
 def test_the_clusters_folder_is_used_where_there_is_one():
     assert shared_dir(fake("hdfs://x/y/")) == "hdfs://x/y"
     assert shared_dir(fake(None)).startswith("file://") and shared_dir(fake(None)) == shared_dir(fake(None))
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]"):
+        assert shared_dir(fake("hdfs://x/y", master)) == "hdfs://x/y"
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(fake(None, master))
+
+
+def test_unused_names(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "Row int, _row int, n int")
+    assert unused(df, "row", "n", "x") == ["__row", "_n", "x"]
 
 
 def test_broadcast_only_below_the_bound(spark):
