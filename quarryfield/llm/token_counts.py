@@ -52,6 +52,14 @@ def read_cache(spark: SparkSession, cache: str, version: str) -> DataFrame:
     return stored.where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+def _stored_rows(spark: SparkSession, cache: str, version: str) -> int:
+    """Rows of the cache for one tokenizer, repeats included: a partition's row counts, from file footers alone."""
+    try:
+        return spark.read.schema(_CACHE).parquet(cache).where(F.col("tokenizer") == version).count()
+    except AnalysisException:
+        return 0
+
+
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
@@ -88,5 +96,6 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, cache: str | Non
         new = lacking.mapInArrow(_count(tokenizer), T.StructType(_CACHE.fields[:2])).dropDuplicates(["digest"])
         new.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache)
         stored = read_cache(spark, cache, version)
-    counts = small_side(stored, n_missing, _ROW_BYTES) if n_missing else stored
+    # The whole cache is the side that may be broadcast, so its size is what counts.
+    counts = small_side(stored, _stored_rows(spark, cache, version), _ROW_BYTES)
     return keys.join(counts, "digest", "left").select("doc_id", "digest", "n_bytes", "n_tokens")
