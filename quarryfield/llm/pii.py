@@ -15,7 +15,8 @@ and decides which further candidates become spans.  Those that overlap a base sp
 earlier accepted one, go.
 
 Texts are read once; that pass writes candidates to the shared folder, and the later two
-passes read only those.  All searches take time linear in the text.
+passes read only those.  All searches take time linear in the text, and overlaps are found by
+bisection.
 
 Cases: a null text counts as empty; null and repeated ids keep their rows; an empty table
 gives no rows; other columns are ignored.
@@ -23,6 +24,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -59,7 +61,7 @@ FOR = {
 AGAINST = ("isbn", "issn", "doi", "version", "invoice", "order", "page", "section", "figure", "table", "sku", "part no", "rfc")
 
 _MORE = {
-    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:\x20?(?:\(at\)|\[at\]|\{at\})\x20?|\x20at\x20)[A-Za-z0-9-]{1,63}(?:(?:\x20?(?:\(dot\)|\[dot\]|\{dot\})\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{2,63}){1,4}", re.I),
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?(?:\(at\)|\[at\]|\{at\})\x20?|\x20at\x20)[A-Za-z0-9-]{1,63}(?:(?:\x20?(?:\(dot\)|\[dot\]|\{dot\})\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{2,63}){1,4}", re.I),
     "ip": re.compile(r"(?<![0-9A-Fa-f:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9]{1,3}(?:\[\.\][0-9]{1,3}){3})(?![0-9A-Fa-f:])"),
     "card": re.compile(r"(?<![0-9./])[0-9]{4}(?:[./][0-9]{4}){3}(?![0-9./])"),
     "phone": re.compile(r"(?<![0-9+])(?:\([0-9]{3}\)[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}|[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}|00[1-9][0-9]{1,2}[\x20-][0-9](?:[\x20-]?[0-9]){6,11}|0[1-9][0-9]{1,4}[/-][0-9](?:[\x20-]?[0-9]){4,9})(?![0-9])"),
@@ -255,6 +257,21 @@ def _propose(id_type: pa.DataType):
     return run
 
 
+def _apart(spans: list[dict], base: list[dict]) -> list[dict]:
+    """Those of ``spans`` that overlap neither a base span nor one taken before; both lists sorted by start."""
+    starts, reach = [], []  # base spans by start, and how far they and all before them reach
+    for s in base:
+        starts.append(s["start"])
+        reach.append(max(s["end"], reach[-1] if reach else 0))
+    out, end = [], 0
+    for s in spans:
+        before = bisect.bisect_left(starts, s["end"])  # base spans that begin before this one ends
+        if s["start"] >= end and (not before or reach[before - 1] <= s["start"]):
+            out.append(s)
+            end = s["end"]
+    return out
+
+
 def _decide(weights: np.ndarray, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         verdicts: dict[int, bool] = {}
@@ -262,16 +279,10 @@ def _decide(weights: np.ndarray, id_type: pa.DataType):
             base, more = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             out = []
             for b, m in zip(base, more):
-                taken = [(s["start"], s["end"]) for s in b]
-                added = []
                 for s in m:
-                    code = s["feature"]
-                    if code not in verdicts:
-                        verdicts[code] = float((_design([code]) @ weights)[0]) > 0
-                    if verdicts[code] and all(s["end"] <= x or s["start"] >= y for x, y in taken):
-                        taken.append((s["start"], s["end"]))
-                        added.append(s)
-                out.append(added)
+                    if s["feature"] not in verdicts:
+                        verdicts[s["feature"]] = float((_design([s["feature"]]) @ weights)[0]) > 0
+                out.append(_apart([s for s in m if verdicts[s["feature"]]], b))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(id_type), batch.column(1), pa.array(out, _ARROW_SPANS)], names=["doc_id", "base", "added"])
 
     return run
