@@ -7,14 +7,18 @@ Join.  Segment-popcount embedding: each fingerprint maps to the bit counts of it
 segments of two bits.  A changed bit changes one count by one, so the Manhattan distance of
 two count vectors is a lower bound of the Hamming distance.  Two vectors within Manhattan
 distance 3 agree on all axes of at least three of six axis groups, so the range join becomes
-equality on grid cells: the counts of one choice of three groups (20 choices).  Every pair
-that meets in a cell is then verified on the fingerprints themselves.  For any other
-``max_distance`` d there are d + 3 groups, of which three agree.
+equality on grid cells: the counts of one choice of three groups (20 choices).  Pairs that
+meet in a cell are filtered by the Manhattan distance of all their counts, the lower bound,
+and then verified on the fingerprints themselves.  For any other ``max_distance`` d there are
+d + 3 groups, of which three agree.
+
+Cells of more than ``CELL_ROWS`` members are divided by the fingerprints' own bits in the
+cell's three groups.  No link is lost: two fingerprints within d bits have equal bits, and so
+equal counts, in three groups, and the cells of that choice hold both, divided or not.
 
 Only distinct fingerprints enter the join, and a cell gives a spanning forest of its links,
 never all its pairs; connected components of the forests are those of all links.  A cell is
-searched breadth-first over its unvisited members; cells of more than ``PROBE_FROM`` members
-instead meet on their bit-flip neighbourhoods, in time linear in the cell.
+searched breadth-first over its unvisited members.
 
 Cases: null and empty texts and texts of white space have fingerprint zero and link like any
 other; null ids keep their rows and take the smallest id of their component, if there is one;
@@ -29,17 +33,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, small_side, text_or_empty, work_dir
+from .common import materialise, small_side, text_or_empty, unused, work_dir
 from .components import connected_components
 from .encoders import slices
 
 SEED = 42
-#: Members of a cell from which bit-flip neighbourhoods replace the search over pairs.
-PROBE_FROM = 1 << 16
+#: Members of a grid cell beyond which it is divided.
+CELL_ROWS = 1 << 12
 _STEP = 1 << 15  # shingles at a time
 _LOW_BITS = 0x5555555555555555
 
@@ -137,14 +141,18 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _pairs(fps: np.ndarray, max_distance: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct fingerprints, breadth-first over what is unvisited."""
+def _pairs(fps: np.ndarray, counts: np.ndarray, max_distance: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among distinct fingerprints, breadth-first over what is unvisited.
+
+    The Manhattan distance of the counts, a lower bound, decides which pairs are verified.
+    """
     out, rest = [], np.arange(len(fps))
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             at = queue.pop()
-            near = np.bitwise_count(fps[rest] ^ fps[at]) <= max_distance
+            near = np.bitwise_count(counts[rest] ^ counts[at]) <= max_distance
+            near[near] = np.bitwise_count(fps[rest[near]] ^ fps[at]) <= max_distance
             if near.any():
                 found = rest[near]
                 out += [(at, x) for x in found]
@@ -153,45 +161,6 @@ def _pairs(fps: np.ndarray, max_distance: int) -> list[tuple[int, int]]:
     return out
 
 
-def _flips(most: int) -> np.ndarray:
-    words = [sum(1 << b for b in bits) for n in range(most + 1) for bits in itertools.combinations(range(64), n)]
-    return np.array(words, dtype=np.uint64)
-
-
-def _probe(fps: np.ndarray, max_distance: int, part_rows: int = 1 << 22) -> list[tuple[int, int]]:
-    """The same forest (with more edges) from shared bit-flip neighbours.
-
-    x and y are within d bits if and only if x with at most ceil(d/2) flips equals y with at
-    most floor(d/2); all x and y that share such a word link, as long as it has a y.
-    """
-    far, near = _flips(-(-max_distance // 2)), _flips(max_distance // 2)
-    parts = np.uint64(max(1, len(fps) * len(far) // part_rows))
-    mix = np.uint64(0x9E3779B97F4A7C15)
-    out = []
-
-    def words(flips: np.ndarray, part: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-        who, what = [], []
-        for f in flips:
-            w = fps ^ f
-            k = np.flatnonzero((w * mix >> np.uint64(32)) % parts == part)
-            who.append(k)
-            what.append(w[k])
-        return np.concatenate(who), np.concatenate(what)
-
-    for part in range(int(parts)):
-        x, xw = words(far, np.uint64(part))
-        y, yw = words(near, np.uint64(part))
-        order = np.argsort(yw, kind="stable")
-        y, yw = y[order], yw[order]
-        at = np.searchsorted(yw, xw)
-        hit = at < len(yw)
-        hit[hit] = yw[at[hit]] == xw[hit]
-        pairs = np.stack([np.concatenate([x[hit], y[1:][yw[1:] == yw[:-1]]]), np.concatenate([y[at[hit]], y[:-1][yw[1:] == yw[:-1]]])], axis=1)
-        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-        out += _forest(pairs)
-    return out
-
-
 def _forest(pairs: np.ndarray) -> list[tuple[int, int]]:
     """The edges that join two trees, first come first kept."""
     parent: dict[int, int] = {}
@@ -211,17 +180,18 @@ def _forest(pairs: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _link_cells(max_distance: int, probe_from: int):
-    """Rows arrive sorted by cell; gives a spanning forest of each cell's links as pairs of fingerprints."""
+def _link_cells(max_distance: int):
+    """Rows (cell, fingerprint, counts) sorted by cell: a spanning forest of each cell's links as pairs of fingerprints."""
 
-    def finish(cells: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def finish(cells: np.ndarray, fps: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cut = np.flatnonzero(np.diff(cells)) + 1
         first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(cells)]])
         two = first[last - first == 2]
+        two = two[np.bitwise_count(counts[two] ^ counts[two + 1]) <= max_distance]
         near = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= max_distance]
         a, b = [fps[near]], [fps[near + 1]]
         for lo, hi in zip(first[last - first > 2], last[last - first > 2]):
-            found = (_pairs if hi - lo < probe_from else _probe)(fps[lo:hi], max_distance)
+            found = _pairs(fps[lo:hi], counts[lo:hi], max_distance)
             if found:
                 pairs = np.array(found) + lo
                 a.append(fps[pairs[:, 0]])
@@ -233,13 +203,13 @@ def _link_cells(max_distance: int, probe_from: int):
 
         def take(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
             if parts:
-                cells, fps = (np.concatenate(c) for c in zip(*parts))
-                a, b = finish(cells, fps.view(np.uint64))
+                cells, fps, counts = (np.concatenate(c) for c in zip(*parts))
+                a, b = finish(cells, fps.view(np.uint64), counts.view(np.uint64))
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for batch in batches:
-            cols = tuple(batch.column(i).to_numpy() for i in range(2))
+            cols = tuple(batch.column(i).to_numpy() for i in range(3))
             if not len(cols[0]):
                 continue
             cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last cell may go on
@@ -252,24 +222,33 @@ def _link_cells(max_distance: int, probe_from: int):
     return run
 
 
-def links(nodes: DataFrame, max_distance: int = 3, probe_from: int = PROBE_FROM) -> DataFrame:
-    """``nodes``: fp (distinct).  Gives pairs a, b of fingerprints that link, enough to connect whatever all links connect."""
-    x, y = F.col("fp"), F.shiftrightunsigned("fp", 1)
-    low = F.lit(_LOW_BITS)
-    # Bit count of each 2-bit segment, in place: low bit by exclusive or, high bit by and.
-    counts = x.bitwiseXOR(y).bitwiseAND(low).bitwiseOR(F.shiftleft(x.bitwiseAND(y).bitwiseAND(low), 1))
-    embedded = nodes.withColumn("counts", counts)
-    cells = F.explode(F.array(*(F.xxhash64(F.lit(i), F.col("counts").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(cell_masks(max_distance)))))
-    grid = embedded.select(cells.alias("cell"), "fp").repartition("cell").sortWithinPartitions("cell", "fp")
-    return grid.mapInArrow(_link_cells(max_distance, probe_from), "a long, b long")
+def embedded(fp: str = "fp") -> Column:
+    """Bit count of each 2-bit segment, in place and in unary (00, 01, 11): two such words differ in as many bits as their Manhattan distance."""
+    x, y, low = F.col(fp), F.shiftrightunsigned(fp, 1), F.lit(_LOW_BITS)
+    return x.bitwiseOR(y).bitwiseAND(low).bitwiseOR(F.shiftleft(x.bitwiseAND(y).bitwiseAND(low), 1))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 3, id_col: str = "doc_id", text_col: str = "text", probe_from: int = PROBE_FROM) -> DataFrame:
+def links(nodes: DataFrame, where: str, max_distance: int = 3, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``nodes``: fp (distinct).  Gives pairs a, b of fingerprints that link, enough to connect whatever all links connect."""
+    masks = [_signed(m) for m in cell_masks(max_distance)]
+    counted = nodes.withColumn("counts", embedded())
+    cells = F.posexplode(F.array(*(F.xxhash64(F.lit(i), F.col("counts").bitwiseAND(F.lit(m))) for i, m in enumerate(masks))))
+    grid = counted.select("fp", "counts", cells.alias("kind", "cell"))
+    full = materialise(grid.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell_rows).select("cell", F.lit(True).alias("full")), f"{where}/full-cells")
+    fixed = F.col("fp").bitwiseAND(F.element_at(F.array(*(F.lit(m) for m in masks)), F.col("kind") + 1))
+    n_full = full.count()
+    if n_full:
+        grid = grid.join(small_side(full, n_full, 24), "cell", "left").withColumn("cell", F.when(F.col("full"), F.xxhash64("cell", fixed)).otherwise(F.col("cell")))
+    grid = grid.select("cell", "fp", "counts").repartition("cell").sortWithinPartitions("cell", "fp")
+    return grid.mapInArrow(_link_cells(max_distance), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 3, id_col: str = "doc_id", text_col: str = "text", cell_rows: int = CELL_ROWS) -> DataFrame:
     """doc_id, fp (signed long), component_id: the smallest id reachable over links of ``max_distance`` bits or fewer."""
     where = work_dir(docs.sparkSession, "simhash")
     marked = materialise(fingerprints(docs, shingle, id_col, text_col), f"{where}/fingerprints")
     distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), f"{where}/distinct")
-    roots = connected_components(links(distinct.select("fp"), max_distance, probe_from), f"{where}/components")
+    roots = connected_components(links(distinct.select("fp"), where, max_distance, cell_rows), f"{where}/components")
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     labels = placed.select("fp", "root").join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     labels = materialise(labels, f"{where}/labels")
@@ -284,7 +263,7 @@ BAND_BITS = 16
 #: Words that travel with the cells, and how many of their bits may differ.  A pair at
 #: similarity 0.8 differs in about a sixth of its bits, an unrelated one in half.
 SKETCH_WORDS = 4
-SKETCH_BITS = 52
+SKETCH_BITS = 60
 #: Members of a candidate group that meet in one task, and the pivots of a larger group's first round.
 GROUP_ROWS = 128
 FIRST_PIVOTS = 16
@@ -540,7 +519,8 @@ def distinct_documents(docs: DataFrame, shingle: int = 5, min_similarity: float
     placed = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     keepers = materialise(placed.groupBy("root").agg(F.min("least").alias("k")).select("k.doc_id", "k.row"), f"{where}/keepers")
     side = small_side(keepers, keepers.count(), 48).withColumnsRenamed({"doc_id": "_k_id", "row": "_k_row"})
-    kept = docs.withColumn("_row", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    kept = kept.join(side, kept[id_col].eqNullSafe(side["_k_id"]) & (kept["_row"] == side["_k_row"]), "left_semi")
+    (row,) = unused(docs, "_row")
+    kept = docs.withColumn(row, F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    kept = kept.join(side, kept[id_col].eqNullSafe(side["_k_id"]) & (kept[row] == side["_k_row"]), "left_semi")
     repeated = marked.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return (kept if repeated.isEmpty() else kept.dropDuplicates([id_col, "_row"])).drop("_row")
+    return (kept if repeated.isEmpty() else kept.dropDuplicates([id_col, row])).drop(row)

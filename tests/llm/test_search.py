@@ -99,8 +99,8 @@ def test_near_duplicates(spark):
     assert len(set(least.values())) < len(set(fps.values()))
 
 
-@pytest.mark.parametrize("d,probe_from", [(3, 1 << 16), (3, 3), (2, 3), (1, 3), (5, 1 << 16)])
-def test_links_connect_what_all_links_connect(spark, d, probe_from):
+@pytest.mark.parametrize("d,cell_rows", [(3, 1 << 12), (3, 3), (2, 3), (1, 2), (5, 1 << 12), (5, 4)])
+def test_links_connect_what_all_links_connect(spark, d, cell_rows):
     r = random.Random(d)
     fps = set()
     for _ in range(12):
@@ -111,7 +111,7 @@ def test_links_connect_what_all_links_connect(spark, d, probe_from):
                 x ^= 1 << r.randrange(64)
             fps.add(x)
     df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
-    edges = simhash.links(df, d, probe_from)
+    edges = simhash.links(df, work_dir(spark, "test"), d, cell_rows)
     assert edges.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > d).count() == 0
     roots = {g.node % (1 << 64): g.root for g in connected_components(edges, work_dir(spark, "test")).collect()}
     groups = {}
