@@ -21,7 +21,7 @@ first), role and text; a null conv_id is a conversation of its own; repeated row
 repeated turns; an empty table gives no rows; other columns are ignored.  A conversation's
 turns meet in one row (its digest runs over all of them in order); examples hold the prefix
 each, as the method asks, so their text grows with the square of a conversation's turns.
-``expand(..., prompts=False)`` leaves prompts out of all but the last row.
+``read_back`` checks every prompt against the examples before it.
 """
 
 from __future__ import annotations
@@ -54,8 +54,12 @@ def format_conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str
     return grouped.withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].eqNullSafe(F.lit("assistant")).alias("reply"), head(t).alias("head"), escape(t["text"]).alias("body"))))
 
 
-def expand(rows: DataFrame, prompts: bool = True, **cols: str) -> DataFrame:
-    """One row for each assistant turn: conv_id, example (from 0), prompt, completion, tail, last."""
+def expand(rows: DataFrame, **cols: str) -> DataFrame:
+    """One row for each assistant turn: conv_id, example (from 0), prompt, seen, completion, tail, last.
+
+    ``seen``: characters at the start of the prompt that the example before holds too, as its
+    prompt and completion.
+    """
     formatted = format_conversations(rows, **cols)
     texts = formatted.select(
         "conv_id", F.concat_ws("", F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END)))).alias("whole"),
@@ -67,14 +71,16 @@ def expand(rows: DataFrame, prompts: bool = True, **cols: str) -> DataFrame:
     before = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     at = F.coalesce(F.sum(F.col("head") + F.col("body") + F.lit(len(END))).over(before), F.lit(0)) + F.col("head")
     example = F.coalesce(F.sum(F.col("reply").cast("int")).over(before), F.lit(0)).cast("int")
-    replies = turns.select(F.col("conv_id").alias("of"), "reply", F.struct(at.alias("at"), F.col("body").alias("n")).alias("span"), example.alias("example")).where("reply").drop("reply")
+    placed = turns.select(F.col("conv_id").alias("of"), "pos", "reply", at.alias("at"), "body", example.alias("example"))
+    seen = F.coalesce(F.max(F.when(F.col("reply"), F.col("at") + F.col("body"))).over(Window.partitionBy("of").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    replies = placed.select("of", "reply", F.struct(F.col("at"), F.col("body").alias("n"), seen.alias("seen")).alias("span"), "example").where("reply").drop("reply")
     df = texts.join(replies, texts["conv_id"].eqNullSafe(replies["of"]), "left").withColumn("example", F.coalesce("example", F.lit(0)))
     df = df.withColumn("last", F.col("example") == F.greatest(F.col("n"), F.lit(1)) - 1)
     at, n = F.col("span.at").cast("int"), F.col("span.n").cast("int")
-    prompt = F.when(F.col("span").isNull(), F.col("whole")).otherwise(F.substring("whole", F.lit(1), at))
     return df.select(
         "conv_id", "example",
-        (prompt if prompts else F.when(F.col("last"), prompt)).alias("prompt"),
+        F.when(F.col("span").isNull(), F.col("whole")).otherwise(F.substring("whole", F.lit(1), at)).alias("prompt"),
+        F.coalesce(F.col("span.seen"), F.lit(0)).cast("int").alias("seen"),
         F.when(F.col("span").isNotNull(), F.substring("whole", at + 1, n)).alias("completion"),
         F.when(F.col("last"), F.when(F.col("span").isNull(), "").otherwise(F.expr("substring(whole, int(span.at + span.n) + 1)"))).alias("tail"),
         "last",
@@ -84,10 +90,17 @@ def expand(rows: DataFrame, prompts: bool = True, **cols: str) -> DataFrame:
 def read_back(examples: DataFrame) -> DataFrame:
     """From the examples alone: conv_id, turns (array of role, text), replies (array of text), formatted.
 
-    Only the last row's prompt holds anything the completions do not, so the others stay behind.
+    Each example gives what its prompt adds to the example before, then its completion; the
+    rest of every prompt is compared with that example by hash, so that the text is shuffled
+    once and not once for each example.  ``formatted`` is null if a prompt disagrees.
     """
-    kept = examples.select("conv_id", "example", F.when(F.col("last"), F.concat_ws("", "prompt", "completion", "tail")).alias("formatted"), "completion")
-    grouped = kept.groupBy("conv_id").agg(F.max("formatted").alias("formatted"), F.sort_array(F.collect_list(F.when(F.col("completion").isNotNull(), F.struct("example", "completion")))).alias("replies"))
+    head, more = F.substring("prompt", F.lit(1), F.col("seen")), F.expr("substring(prompt, seen + 1)")
+    part = F.struct("example", F.concat_ws("", more, "completion", "tail").alias("text"), "completion", F.xxhash64(head).alias("head"), F.xxhash64(F.concat_ws("", "prompt", "completion")).alias("all"))
+    grouped = examples.groupBy("conv_id").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    n = F.size("parts")
+    agree = F.forall(F.zip_with(F.slice("parts", F.lit(1), n - 1), F.slice("parts", F.lit(2), n - 1), lambda a, b: a["all"] == b["head"]), lambda same: same)
+    replies = F.filter(F.transform("parts", lambda p: p["completion"]), lambda c: c.isNotNull())
+    read = grouped.select("conv_id", F.when(agree, F.concat_ws("", F.transform("parts", lambda p: p["text"]))).alias("formatted"), replies.alias("replies"))
     lines = F.filter(F.split("formatted", END, -1), lambda x: x != "")
 
     def parse(x: Column) -> Column:
@@ -95,4 +108,4 @@ def read_back(examples: DataFrame) -> DataFrame:
         role = F.substring(x, F.lit(len(START) + 1), cut - 1 - len(START))
         return F.struct(F.when(role != "\\0", unescape(role)).alias("role"), unescape(F.substring(x, cut + 2, F.char_length(x))).alias("text"))
 
-    return grouped.select("conv_id", F.transform(lines, parse).alias("turns"), F.transform("replies", lambda r: unescape(r["completion"])).alias("replies"), "formatted")
+    return read.select("conv_id", F.transform(lines, parse).alias("turns"), F.transform("replies", unescape).alias("replies"), "formatted")

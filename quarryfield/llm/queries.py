@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, line_dedup, mixing, packing, pii, quality, simhash, sstable, token_counts, topk
+from .common import materialise, work_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +70,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     says = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], rows.schema)
-    back = chat.read_back(chat.expand(rows.unionByName(extra)))
+    examples = materialise(chat.expand(rows.unionByName(extra)), f"{work_dir(spark, 'chat')}/examples")
+    back = chat.read_back(examples)
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.concat_ws("", F.transform("turns", lambda t: F.concat(F.coalesce(t["role"], F.lit("")), F.lit("\n"), t["text"], F.lit("\n")))), 256).alias("turns_sha256"),

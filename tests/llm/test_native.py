@@ -167,7 +167,7 @@ def test_chat_round_trip(spark):
             assert whole.startswith(e.prompt + (e.completion or ""))
             assert e.completion is None or e.prompt.endswith("### assistant: ")
         assert es[-1].prompt + (es[-1].completion or "") + es[-1].tail == whole
-    assert sorted(map(str, (tuple(g)[0] for g in chat.read_back(chat.expand(df, prompts=False)).collect()))) == sorted(map(str, want))
+    assert sorted(map(str, (tuple(g)[0] for g in chat.read_back(chat.expand(df)).collect()))) == sorted(map(str, want))
     assert chat.read_back(chat.expand(df.limit(0))).count() == 0
 
 
