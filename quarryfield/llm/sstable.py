@@ -20,8 +20,12 @@ its sign bit flipped, or the UTF-8 bytes of a string.
 A shard is written under a name of its own attempt, and the manifest names the file of the
 attempt that Spark committed; a lost executor's half-written file is never read.
 
+Shards are as many as the input's estimated size asks for, and at least the session's shuffle
+partitions.
+
 Cases: a null text is empty; null ids come first; repeated ids keep their own entries (a
-lookup gives all of them); an empty table gives no shards; other columns are ignored.
+lookup gives all of them), in order of a hash of the text and over several shards if they
+are many; an empty table gives no shards; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -47,6 +52,8 @@ MAGIC = b"QFSST\x00\x01"
 FOOTER = struct.Struct("<QIQIQQB7s")
 BLOCK_BYTES = 64 << 10
 BITS_A_KEY, HASHES = 10, 7
+#: Input of a shard, by the planner's estimate, and most shards of one call (a larger table has larger shards).
+SHARD_BYTES, MOST_SHARDS = 512 << 20, 1 << 20
 
 
 def to_key(value) -> bytes:
@@ -88,12 +95,12 @@ def _bits(keys: list[bytes], n_bits: int) -> np.ndarray:
 
 
 class ShardWriter:
-    """Entries must come in key order; memory: one block, the index and 8 bytes a key."""
+    """Entries must come in key order; memory: one block, the index, 8 bytes a key and the filter's bits."""
 
     def __init__(self, out, width: int):
         self.out, self.width, self.at = out, width, 0
         self.block, self.first, self.last = bytearray(), None, b""
-        self.index, self.hashes = [], []
+        self.index, self.hashes = [], array("Q")
         self.documents = self.tokens = 0
         self.low = self.high = None
 
@@ -132,12 +139,14 @@ class ShardWriter:
         self._write(b"".join(_varint(len(k)) + k + struct.pack("<QI", p, n) for k, p, n in self.index))
         filter_at = self.at
         n_bits = max(64, -(-len(self.hashes) * BITS_A_KEY // 8) * 8)
-        bits = np.zeros(n_bits, dtype=np.uint8)
-        h = np.array(self.hashes, dtype=np.uint64)
-        a, b = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32) | np.uint64(1)
-        for i in range(HASHES):
-            bits[(a + np.uint64(i) * b) % np.uint64(n_bits)] = 1
-        self._write(struct.pack("<I", HASHES) + np.packbits(bits, bitorder="little").tobytes())
+        bits = np.zeros(n_bits // 8, dtype=np.uint8)
+        for start in range(0, len(self.hashes), 1 << 16):
+            h = np.array(self.hashes[start : start + (1 << 16)], dtype=np.uint64)
+            a, b = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32) | np.uint64(1)
+            for i in range(HASHES):
+                at = (a + np.uint64(i) * b) % np.uint64(n_bits)
+                np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        self._write(struct.pack("<I", HASHES) + bits.tobytes())
         self._write(FOOTER.pack(index_at, filter_at - index_at, filter_at, self.at - filter_at, self.documents, self.tokens, self.width, MAGIC))
 
 
@@ -243,7 +252,11 @@ def write_shards(docs: DataFrame, folder: str | None = None, tokenizer: str | No
         source = source.withColumn("doc_id", F.col("doc_id").cast("long"))
     else:
         source = source.withColumn("doc_id", F.col("doc_id").cast("string"))
-    ordered = (source.repartitionByRange(shards, "doc_id") if shards else source.repartitionByRange("doc_id")).sortWithinPartitions("doc_id")
+    # Rows that repeat an id may part within it, by a hash of the text, so no shard must hold them all.
+    order = ["doc_id", F.xxhash64("text")]
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    shards = shards or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_SHARDS, -(-size // SHARD_BYTES)))
+    ordered = source.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     tokenizer = tokenizer or tokenizer_path("word_bpe_49k.json")
     return materialise(ordered.mapInArrow(_writer(folder, tokenizer, end_id), _MANIFEST), f"{folder}/manifest")
 
