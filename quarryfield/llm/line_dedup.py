@@ -23,7 +23,8 @@ skew handling, so a variant or a line shared by very many places may be split.
 Cases: a null text stays null; blank lines always stay; a document whose lines all go keeps
 its row with an empty text; null ids sort first; rows with one id are told apart by their
 text, and rows equal in both keep or lose the same lines; an empty table gives no rows; other
-columns pass through.
+columns pass through, whatever their names, except n_lines, n_dropped and n_near, which are
+replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_side, work_dir
+from .common import materialise, small_side, unused, work_dir
 
 MIN_WORDS = 8
 #: Lines of up to BLOCK_LINE_WORDS words have BLOCKS blocks; longer ones half the square root of their words.
@@ -170,18 +171,19 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     """``docs`` with the lines taken out of the text; adds n_lines, n_dropped, n_near (all but the last two unchanged otherwise)."""
     where = work_dir(docs.sparkSession, "line-dedup")
     gone = dropped_lines(docs, min_words, id_col, text_col)
-    gone = materialise(gone.groupBy("doc_id", "row").agg(F.collect_set("nth").alias("_gone"), F.count_if("near").alias("_near"), F.count(F.lit(1)).alias("_n")), f"{where}/gone")
-    size = gone.agg(F.sum("_n"), F.count(F.lit(1))).first()
-    side = small_side(gone, 1, 8 * (size[0] or 0) + 64 * size[1]).withColumnsRenamed({"doc_id": "_doc_id", "row": "_row"})
+    gone = materialise(gone.groupBy("doc_id", "row").agg(F.collect_set("nth").alias("gone"), F.count_if("near").alias("near"), F.count(F.lit(1)).alias("n")), f"{where}/gone")
+    size = gone.agg(F.sum("n"), F.count(F.lit(1))).first()
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "n_near")]
-    df = docs.select(*kept).withColumn("_text_row", F.xxhash64(text_col))
-    df = df.join(side, df[id_col].eqNullSafe(side["_doc_id"]) & (df["_text_row"] == side["_row"]), "left")
-    df = df.withColumn("_split", F.split(F.col(text_col), "\n", -1))  # a column, so that the loop below does not split again
-    places = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(places, lambda i: F.get("_split", i)), "\n"))
+    row, split, of, of_row, places, near = unused(docs, "text_row", "split", "of", "of_row", "gone", "near")
+    side = small_side(gone, 1, 8 * (size[0] or 0) + 64 * size[1]).select(F.col("doc_id").alias(of), F.col("row").alias(of_row), F.col("gone").alias(places), F.col("near").alias(near))
+    df = docs.select(*kept).withColumn(row, F.xxhash64(text_col))
+    df = df.join(side, df[id_col].eqNullSafe(side[of]) & (df[row] == side[of_row]), "left")
+    df = df.withColumn(split, F.split(F.col(text_col), "\n", -1))  # a column, so that the loop below does not split again
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(places))
+    text = F.when(F.col(places).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n"))
     return df.select(
         *(text.alias(c) if c == text_col else F.col(c) for c in kept),
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_split")).alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).alias("n_dropped"),
-        F.coalesce("_near", F.lit(0)).alias("n_near"),
+        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)).alias("n_lines"),
+        F.when(F.col(places).isNull(), 0).otherwise(F.size(places)).alias("n_dropped"),
+        F.coalesce(near, F.lit(0)).alias("n_near"),
     )

@@ -17,7 +17,7 @@ text share a hash with probability below n * n / 2**65.
 
 Cases: a null text has no words and is rejected by the base rule; empty and white texts
 likewise; repeated rows and null ids keep their rows; an empty table gives no rows; other
-columns pass through ``measure`` unless their names are those of statistics.
+columns pass through ``measure`` unless their names are those of statistics, which replace them.
 """
 
 from __future__ import annotations
@@ -87,12 +87,13 @@ def _with_statistic(df: DataFrame, name: str, t: Column, alive: Column | None =
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds every statistic to every row."""
-    kept = [c for c in docs.columns if c not in STATISTICS and not c.startswith("_q_")]
-    df = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("_q_text"))
+    """Adds every statistic to every row; columns of those names are replaced, all others pass through."""
+    kept = [c for c in docs.columns if c not in STATISTICS]
+    clash = {c: f"_own_{c}" for c in kept if c.startswith("_q_")}
+    df = docs.select(*(F.col(c).alias(clash.get(c, c)) for c in kept), F.coalesce(F.col(text_col), F.lit("")).alias("_q_text"))
     for name in ("n_repeat_words", *STATISTICS):
         df = _with_statistic(df, name, F.col("_q_text"))
-    return df.select(*kept, *STATISTICS)
+    return df.select(*(F.col(clash.get(c, c)).alias(c) for c in kept), *STATISTICS)
 
 
 @dataclass(frozen=True)
@@ -123,12 +124,15 @@ def plan_cascade(docs: DataFrame, rules: list[Rule], text_col: str = "text", sam
     The sample is the first ``sample_rows`` rows.  A collected limit runs over one partition
     first and over further ones only if that held too few rows, and stops reading at the
     limit, so the sample costs the same for a table of any size; only verdicts come to the
-    driver.  A rule is timed with just the statistics it needs, less the time of the scan.
+    driver.  A rule is timed with just the statistics it needs, less the time of the scan, and
+    only after a first run that compiles its plan and warms it up.
     """
 
     def timed(df: DataFrame) -> tuple[float, int, int]:
+        df.limit(-(-sample_rows // 4)).collect()
+        sample = df.limit(sample_rows)
         began = time.perf_counter()
-        flags = [r[0] for r in df.limit(sample_rows).collect()]
+        flags = [r[0] for r in sample.collect()]
         return time.perf_counter() - began, sum(map(bool, flags)), len(flags)
 
     scan, _, _ = timed(docs.select(F.col(text_col).isNull() | (F.octet_length(text_col) >= 0)))
