@@ -8,12 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .engine import Engine
 from .functions.records import cursor_column, encode_cursor
 from .operators import analytics, export, ingest, lifecycle, search
 from .operators.coercion import retype_value, write_value
 from .plans.wire import decode
 from .registry import Registry
 from .sources.tables import CUSTOMER, EVENT, ORDER, PART, Source, records, table
+from .sources.work import work_dir
 from .types import DATETIME, INT, NUMERIC, STRING, Settings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,7 +78,7 @@ _filter("filter_in", "customer", leaf("customer", "in", "c_mktsegment", ["BUILDI
 _filter("filter_in_1024", "order", leaf("order", "in", "o_custkey", list(range(0, 2048, 2))), "o_custkey % 2 = 0 AND o_custkey < 2048", ["o_custkey"])
 _filter("filter_nin", E, leaf(E, "nin", "event_type", ["view", "click"]), "event_type NOT IN ('view', 'click')", ["event_type"])
 _filter("filter_nin_null_rows", E, leaf(E, "nin", "value", [1, 2]), "value NOT IN (1, 2)", ["value"])
-_filter("filter_between", "part", leaf("part", "between", "p_retailprice", [1000, 1100.5]), "p_retailprice BETWEEN 1000 AND 1100.5", ["p_retailprice"])
+_filter("filter_between", "part", leaf("part", "between", "p_retailprice", [905, 930.5]), "p_retailprice BETWEEN 905 AND 930.5", ["p_retailprice"])
 _filter("filter_between_reversed", "part", leaf("part", "between", "p_size", [20, 10]), "p_size BETWEEN 20 AND 10", ["p_size"])
 _filter("filter_prefix", "part", leaf("part", "prefix", "p_brand", "Brand#1"), "starts_with(p_brand, 'Brand#1')", ["p_brand"])
 _filter("filter_prefix_metachar", "part", both("or", leaf("part", "prefix", "p_name", "%"), leaf("part", "prefix", "p_brand", "B_and"), leaf("part", "prefix", "p_brand", "Brand#2")), "starts_with(p_name, '%') OR starts_with(p_brand, 'B_and') OR starts_with(p_brand, 'Brand#2')", ["p_brand"])
@@ -123,12 +125,11 @@ def _(spark, sf_dir):
     return run_filter(spark, sf_dir, EVENT, 1, None, ["k"])
 
 
-def _page(spark, sf_dir, after: int, n: int) -> DataFrame:
-    return run_filter(spark, sf_dir, EVENT, 1, _PURCHASE, ["value"], after).orderBy("entry_id").limit(n)
-
-
-_PAGE = _EVENT + "SELECT entry_id, value FROM e WHERE tenant_id = 1 AND NOT gone AND event_type = 'purchase' AND entry_id > {} ORDER BY entry_id LIMIT 50"
-_query("page_first", _PAGE.format(0))(lambda spark, sf_dir: _page(spark, sf_dir, 0, 50))
+@_query("page_first", _EVENT + "SELECT entry_id, value FROM e WHERE tenant_id = 1 AND NOT gone AND event_type = 'purchase' ORDER BY entry_id LIMIT 50")
+def _(spark, sf_dir):
+    df, reg = records(spark, sf_dir, EVENT)
+    got = search.page(df, reg.view(1), search.Request(1, 1, decode(json.dumps({"filter": _PURCHASE})), ["value"], 50))
+    return spark.createDataFrame([(r["entry_id"], r["value"]) for r in got.rows], "entry_id long, value double")
 
 
 @_query("page_second", _EVENT + "SELECT entry_id, value FROM (SELECT *, row_number() OVER (ORDER BY entry_id) AS n FROM e WHERE tenant_id = 1 AND NOT gone AND event_type = 'purchase') WHERE n BETWEEN 51 AND 100")
@@ -142,7 +143,9 @@ def _(spark, sf_dir):
 
 @_query("page_drain", _CUSTOMER + "SELECT entry_id, c_name FROM e WHERE tenant_id = 1")
 def _(spark, sf_dir):
-    return run_filter(spark, sf_dir, CUSTOMER, 1, None, ["c_name"])
+    df, reg = records(spark, sf_dir, CUSTOMER)
+    rows = [(r["entry_id"], r["c_name"]) for page in search.pages(df, reg.view(1), search.Request(1, 1, None, ["c_name"], 1000)) for r in page.rows]
+    return spark.createDataFrame(rows, "entry_id long, c_name string")
 
 
 @_query("cursor_tokens", _CUSTOMER + "SELECT entry_id, rtrim(replace(replace(base64(encode('v1:' || entry_id)), '+', '-'), '/', '_'), '=') AS cursor FROM e")
@@ -175,26 +178,25 @@ def _page_tables(spark, sf_dir):
 @_query("join_equivalence_pages", _PAGES + "SELECT e.event_id + 1 AS entry_id, event_type, a.entry_id IS NOT NULL AS in_a, b.value FROM events e JOIN a ON a.entry_id = e.event_id + 1 JOIN b ON b.entry_id = e.event_id + 1 WHERE event_type = 'click' AND b.value > 50".replace("event_type, a.entry_id", "a.event_type, a.entry_id").replace("WHERE event_type", "WHERE a.event_type"))
 def _(spark, sf_dir):
     entry, a, b = _page_tables(spark, sf_dir)
-    return entry.join(a.where("event_type = 'click'"), "entry_id").join(b.where("value > 50"), "entry_id").select("entry_id", "event_type", F.lit(True).alias("in_a"), "value")
+    return search.on_all_groups(entry, a.where("event_type = 'click'"), b.where("value > 50")).select("entry_id", "event_type", F.lit(True).alias("in_a"), "value")
 
 
 @_query("semi_join", _PAGES + "SELECT event_id + 1 AS entry_id FROM events e WHERE EXISTS (SELECT 1 FROM a WHERE a.entry_id = e.event_id + 1 AND a.event_type = 'click') OR EXISTS (SELECT 1 FROM b WHERE b.entry_id = e.event_id + 1 AND b.value > 100)")
 def _(spark, sf_dir):
     entry, a, b = _page_tables(spark, sf_dir)
-    hits = a.where("event_type = 'click'").select("entry_id").union(b.where("value > 100").select("entry_id"))
-    return entry.join(hits, "entry_id", "left_semi")
+    return search.in_any_group(entry, a.where("event_type = 'click'"), b.where("value > 100"))
 
 
 @_query("anti_join", _PAGES + "SELECT event_id + 1 AS entry_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.entry_id = e.event_id + 1 AND a.event_type = 'click')")
 def _(spark, sf_dir):
     entry, a, _b = _page_tables(spark, sf_dir)
-    return entry.join(a.where("event_type = 'click'"), "entry_id", "left_anti")
+    return search.in_no_group(entry, a.where("event_type = 'click'"))
 
 
 @_query("left_fallback", _PAGES + "SELECT event_id + 1 AS entry_id, a.event_type, b.value FROM events e LEFT JOIN a ON a.entry_id = e.event_id + 1 LEFT JOIN b ON b.entry_id = e.event_id + 1")
 def _(spark, sf_dir):
     entry, a, b = _page_tables(spark, sf_dir)
-    return entry.join(a, "entry_id", "left").join(b, "entry_id", "left")
+    return search.with_groups(entry, a, b)
 
 
 # A registry of any size: one field for each part.
@@ -311,19 +313,19 @@ def _(spark, sf_dir):
 
 @_query("duplicate_live_slots", "SELECT p_size AS field_id, count(*) AS n FROM part WHERE p_partkey % 5 IN (1, 3, 4) GROUP BY 1 HAVING count(*) > 1")
 def _(spark, sf_dir):
-    s = table(spark, sf_dir, "part").where("p_partkey % 5 IN (1, 3, 4)").select(F.col("p_size").alias("field_id"))
-    return s.groupBy("field_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    slots = registry_frames(spark, sf_dir)[2].drop("field_id").join(table(spark, sf_dir, "part").select((F.col("p_partkey") + 1).alias("id"), F.col("p_size").alias("field_id")), "id")
+    return analytics.duplicate_live_slots(slots)
 
 
 @_query("distinct_pages", _REG + "SELECT DISTINCT f.model_id, s.page_id FROM slots s JOIN fields f ON f.id = s.field_id")
 def _(spark, sf_dir):
     _m, fields, slots = registry_frames(spark, sf_dir)
-    return slots.select("page_id", F.col("field_id").alias("id")).join(fields.select("id", "model_id"), "id").select("model_id", "page_id").distinct()
+    return analytics.hosting_pages(fields, slots)
 
 
 @_query("next_page_number", "SELECT coalesce(max(p_partkey % 7 + 1), 0) + 1 AS next_page FROM part")
 def _(spark, sf_dir):
-    return registry_frames(spark, sf_dir)[2].agg((F.coalesce(F.max("page_id"), F.lit(0)) + 1).alias("next_page"))
+    return analytics.next_page_number(registry_frames(spark, sf_dir)[2])
 
 
 # Jobs: one for each order.
@@ -347,7 +349,7 @@ def job_frame(spark, sf_dir) -> DataFrame:
 
 @_query("round_robin_claim", _JOBS + "SELECT id, tenant_id, row_number() OVER (ORDER BY oldest, created_at, id) AS position FROM (SELECT *, min(created_at) OVER (PARTITION BY tenant_id) AS oldest FROM jobs WHERE status = 'pending')")
 def _(spark, sf_dir):
-    return analytics.round_robin(job_frame(spark, sf_dir).where("status = 'pending'")).select("id", "tenant_id", F.col("position").cast("long").alias("position"))
+    return analytics.round_robin(job_frame(spark, sf_dir).where("status = 'pending'"), work_dir(spark, "round-robin") + "/jobs").select("id", "tenant_id", F.col("position").cast("long").alias("position"))
 
 
 @_query("next_job", _JOBS + "SELECT id, tenant_id FROM (SELECT *, min(created_at) OVER (PARTITION BY tenant_id) AS oldest FROM jobs WHERE status = 'pending') ORDER BY oldest, created_at, id LIMIT 1")
@@ -412,6 +414,34 @@ for _name, (_function, _kinds, _cases) in _LITERALS.items():
     _coercion(_name, _function, _kinds, _cases)
 
 
+# Coercion of whole tables, with the rule in SQL.
+
+_SPELT = """CASE event_id % 8 WHEN 0 THEN '"' || user_id || '"' WHEN 1 THEN user_id::VARCHAR WHEN 2 THEN user_id || '.5' WHEN 3 THEN '"0' || user_id || '"'
+    WHEN 4 THEN 'true' WHEN 5 THEN '"x' || user_id || '"' WHEN 6 THEN user_id || '.0' ELSE 'null' END"""
+
+
+def _spelt(spark, sf_dir) -> DataFrame:
+    u, q = F.col("user_id").cast("string"), F.lit('"')
+    texts = [F.concat(q, u, q), u, F.concat(u, F.lit(".5")), F.concat(F.lit('"0'), u, q), F.lit("true"), F.concat(F.lit('"x'), u, q), F.concat(u, F.lit(".0")), F.lit("null")]
+    js = F.element_at(F.array(*texts), (F.col("event_id") % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", F.parse_json(js).alias("v"))
+
+
+def _whole_table(name: str, value: str, reason: str, coerce: Callable) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = _spelt(spark, sf_dir).withColumn("o", coerce(F.col("v")))
+        return df.select("event_id", F.col("o.value").alias("value"), F.col("o.reason").alias("reason"))
+
+    _query(f"coerce_table_{name}", f"SELECT event_id, CASE {value} END AS value, CASE {reason} END AS reason FROM (SELECT event_id, user_id, event_id % 8 AS k FROM events)")(run)
+
+
+_whole_table("write_int", "WHEN k IN (0, 1, 6) THEN user_id", "WHEN k IN (2, 3) THEN 'out_of_range' WHEN k IN (4, 5) THEN 'unparseable'", lambda v: write_value(v, INT))
+_whole_table("write_numeric", "WHEN k IN (0, 1, 3, 6) THEN user_id::DOUBLE WHEN k = 2 THEN user_id + 0.5::DOUBLE", "WHEN k IN (4, 5) THEN 'malformed_number'", lambda v: write_value(v, NUMERIC))
+_whole_table("write_string", "WHEN k IN (0, 1, 6) THEN user_id::VARCHAR WHEN k = 2 THEN user_id || '.5' WHEN k = 3 THEN '0' || user_id WHEN k = 4 THEN '1' WHEN k = 5 THEN 'x' || user_id", "WHEN false THEN ''", lambda v: write_value(v, STRING))
+_whole_table("retype_numeric_int", "WHEN k IN (0, 1, 6) THEN user_id", "WHEN k = 2 THEN 'non_integer' WHEN k IN (3, 4, 5) THEN 'malformed_number'", lambda v: retype_value(v, NUMERIC, INT))
+_whole_table("retype_string_int", "WHEN k = 0 THEN user_id", "WHEN k = 3 THEN 'out_of_range' WHEN k IN (1, 2, 4, 5, 6) THEN 'unparseable'", lambda v: retype_value(v, STRING, INT))
+
+
 # Writes.
 
 
@@ -437,7 +467,7 @@ def _(spark, sf_dir):
 
 @_query("assign_ids", "SELECT event_id AS idx, 1000 + row_number() OVER (ORDER BY event_id) - 1 AS entry_id FROM events")
 def _(spark, sf_dir):
-    return ingest.assign_ids(table(spark, sf_dir, "events").select(F.col("event_id").alias("idx")), 1000).select("idx", F.col("entry_id").cast("long").alias("entry_id"))
+    return ingest.assign_ids(table(spark, sf_dir, "events").select(F.col("event_id").alias("idx")), 1000, work_dir(spark, "ids") + "/rows").select("idx", F.col("entry_id").cast("long").alias("entry_id"))
 
 
 @_query("upsert_last_wins", "SELECT user_id AS entry_id, max_by(value, event_id) AS value FROM events GROUP BY 1 UNION ALL SELECT c_custkey + 1000000 AS entry_id, c_acctbal AS value FROM customer")
@@ -541,4 +571,125 @@ def _(spark, sf_dir):
     return doc.select("entry_id", F.get_json_object(whole, "$.k").alias("k"))
 
 
+# Through the engine: records that are written, changed and read back from its own store.
+
+
+def _engine(spark: SparkSession, pages: int = 2, **options) -> Engine:
+    e = Engine(spark, work_dir(spark, "engine"), **options)
+    if pages:
+        e.provision(pages)
+    return e
+
+
+def _load(e: Engine, name: str, fields: list[tuple], rows: DataFrame, key: str) -> int:
+    """A table as one model of tenant 1; gives the model."""
+    m = e.define_model(1, name, fields)
+    payload = F.to_json(F.struct(*(c for c, *_ in fields)), {"ignoreNullFields": "false"})
+    e.ingest(rows.select(F.col(key).alias("idx"), F.lit(1).cast("long").alias("tenant_id"), F.lit(m).alias("model_id"), payload.alias("fields")), 1, m)
+    return m
+
+
+_PERSONS = [("c_name", STRING), ("c_mktsegment", STRING), ("c_acctbal", NUMERIC), ("c_nationkey", INT)]
+_KEPT = """WITH c AS (SELECT *, event_id // 500 AS chunk FROM events),
+  n AS (SELECT *, row_number() OVER (ORDER BY event_id) AS entry_id FROM c WHERE chunk NOT IN (SELECT chunk FROM c WHERE event_id % 1501 = 7)) """
+
+
+def _ingested(spark, sf_dir) -> tuple[Engine, int, DataFrame]:
+    e = _engine(spark)
+    m = e.define_model(1, "event", [("event_type", STRING), ("value", NUMERIC), ("user_id", INT)])
+    return e, m, e.ingest(_event_batch(spark, sf_dir).withColumn("tenant_id", F.lit(1).cast("long")), 1, m)
+
+
+@_query("engine_ingest", _KEPT + "SELECT entry_id, event_type, CASE WHEN event_id % 5 <> 0 THEN value END AS value, user_id FROM n")
+def _(spark, sf_dir):
+    e, m, _ = _ingested(spark, sf_dir)
+    return e.scan(1, m)
+
+
+@_query("engine_ingest_manifest", "SELECT event_id // 500 AS chunk, CASE WHEN bool_or(event_id % 1501 = 7) THEN 'rolled_back' ELSE 'committed' END AS status, count(*) AS rows, min(CASE WHEN event_id % 1501 = 7 THEN event_id END) AS first_bad FROM events GROUP BY 1")
+def _(spark, sf_dir):
+    return _ingested(spark, sf_dir)[2]
+
+
+@_query("engine_search", _KEPT + "SELECT entry_id, user_id FROM n WHERE event_type = 'purchase' AND event_id % 5 <> 0 AND value > 50")
+def _(spark, sf_dir):
+    e, m, _ = _ingested(spark, sf_dir)
+    return e.scan(1, m, json.dumps({"version": "1", "filter": both("and", _PURCHASE, leaf(E, "gt", "value", 50))}), ["user_id"])
+
+
+@_query("engine_update_delete", "SELECT c_custkey + 1 AS entry_id, CASE WHEN c_custkey = 6 THEN 'New name' ELSE c_name END AS c_name, CASE WHEN c_custkey <> 6 THEN c_acctbal END AS c_acctbal FROM customer WHERE c_custkey <> 8")
+def _(spark, sf_dir):
+    e = _engine(spark)
+    m = _load(e, "customer", _PERSONS, table(spark, sf_dir, "customer"), "c_custkey")
+    e.update(1, 7, {"c_name": "New name"})
+    e.delete(1, 9)
+    return e.scan(1, m, None, ["c_name", "c_acctbal"])
+
+
+@_query("engine_outbox", "SELECT o_orderkey + 1 AS entry_id, o_totalprice FROM orders WHERE o_totalprice >= 200000")
+def _(spark, sf_dir):
+    e = _engine(spark, pages=0)
+    m = _load(e, "order", [("o_totalprice", NUMERIC), ("o_orderstatus", STRING)], table(spark, sf_dir, "orders"), "o_orderkey")
+    for _ in range(2):
+        e.reconcile()  # no capacity yet: the entries stay queued
+    e.watch()
+    e.reconcile()
+    return e.scan(1, m, json.dumps({"filter": leaf("order", "gte", "o_totalprice", 200000)}), ["o_totalprice"])
+
+
+@_query("engine_retype", "SELECT c_custkey + 1 AS entry_id, c_nationkey::DOUBLE AS c_nationkey FROM customer WHERE c_nationkey > 10")
+def _(spark, sf_dir):
+    e = _engine(spark)
+    m = _load(e, "customer", _PERSONS, table(spark, sf_dir, "customer"), "c_custkey")
+    e.retype_field(1, m, "c_nationkey", NUMERIC, later=True)
+    e.reconcile()
+    e.sweep()
+    return e.scan(1, m, json.dumps({"filter": leaf("customer", "gt", "c_nationkey", 10)}), ["c_nationkey"])
+
+
+@_query("engine_import", "SELECT (n_nationkey + 1)::BIGINT AS entry_id, CASE WHEN n_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS model, n_name FROM nation WHERE n_nationkey < 16")
+def _(spark, sf_dir):
+    e = _engine(spark, settings=Settings(bulk_chunk=4, import_round=2))
+    models = [e.define_model(1, name, [("n_name", STRING), ("n_regionkey", INT)]) for name in ("even", "odd")]
+    nations = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
+    e.submit_bulk_write([{"tenantId": 1, "modelId": models[r["n_nationkey"] % 2], "fields": {"n_name": r["n_name"], "n_regionkey": "bad" if r["n_nationkey"] == 18 else r["n_regionkey"]}} for r in nations])
+    e.reconcile()
+    parts = [e.scan(1, m, None, ["n_name"]).select("entry_id", F.lit(name).alias("model"), "n_name") for m, name in zip(models, ("even", "odd"))]
+    return parts[0].union(parts[1])
+
+
+@_query("engine_quarantine", "SELECT (n_nationkey + 1)::BIGINT AS entry_id, 'schema_incompatibility' AS reason FROM nation WHERE n_nationkey % 5 = 3")
+def _(spark, sf_dir):
+    e = _engine(spark, pages=0)
+    rows = table(spark, sf_dir, "nation").withColumn("n", F.when(F.col("n_nationkey") % 5 == 3, F.lit("bad")).otherwise(F.col("n_regionkey").cast("string")))
+    _load(e, "nation", [("n", INT)], rows, "n_nationkey")
+    e.watch()
+    e.reconcile()
+    e.replay(reason="schema_incompatibility")
+    e.reconcile()
+    return e.quarantined().select("entry_id", "reason")
+
+
+_PARTS = [("p_name", STRING), ("p_brand", STRING), ("p_size", INT)]
+
+
+def _artifact(spark, sf_dir, kind: str, separator: str) -> DataFrame:
+    e = _engine(spark)
+    m = _load(e, "part", _PARTS, table(spark, sf_dir, "part"), "p_partkey")
+    e.submit_export(1, m, kind, json.dumps({"filter": leaf("part", "lte", "p_size", 10)}))
+    return spark.read.option("lineSep", separator).text(e.run_next_export().artifact_path).withColumnRenamed("value", "line")
+
+
+@_query("engine_export_csv", """SELECT p_brand || ',' || CASE WHEN contains(p_name, ',') OR contains(p_name, '"') THEN '"' || replace(p_name, '"', '""') || '"' ELSE p_name END || ',' || p_size AS line FROM part WHERE p_size <= 10
+  UNION ALL SELECT 'p_brand,p_name,p_size'""")
+def _(spark, sf_dir):
+    return _artifact(spark, sf_dir, "csv", "\r\n")
+
+
+@_query("engine_export_json", "SELECT p_name, p_size::BIGINT AS p_size FROM part WHERE p_size <= 10")
+def _(spark, sf_dir):
+    whole = F.from_json(F.regexp_replace("line", r"^\[|[\],]$", ""), "p_name string, p_size long")
+    return _artifact(spark, sf_dir, "json", "\n").select(whole.alias("r")).select("r.*")
+
+
 FLAGSHIP = "filter_and"

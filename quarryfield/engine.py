@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from collections.abc import Callable, Iterable, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import EntryNotFound, FieldNotFilterable, FieldNotFound, FilterError, PayloadTooLarge, tenant
+from .errors import EngineError, EntryNotFound, FieldNotFilterable, FieldNotFound, FilterError, LeaseLost, PayloadTooLarge, tenant
 from .events import Events
+from .functions.numbering import numbered
 from .operators import analytics, export, ingest, lifecycle, planning, search
 from .operators.jobs import QUARANTINE, Job, Jobs, import_artifact, replay, utc_now
 from .plans import ast, preflight
 from .plans.wire import decode
 from .registry import Registry
 from .sources.store import Store
+from .sources.work import materialise, remove, work_dir
 from .streaming.imports import run_import
 from .streaming.outbox import drain, enqueue, requeue
 from .types import FAMILY, LIVE, SPARK_TYPE, Settings
@@ -25,14 +29,14 @@ from .types import FAMILY, LIVE, SPARK_TYPE, Settings
 class Engine:
     """``root``: a folder in any store Spark can write; ``driver``: another search backend, if wanted."""
 
-    def __init__(self, spark: SparkSession, root: str, settings: Settings = Settings(), events: Events | None = None, driver: search.SearchDriver | None = None, clock: Callable = utc_now):
+    def __init__(self, spark: SparkSession, root: str, settings: Settings = Settings(), events: Events | None = None, driver: search.SearchDriver | None = None, clock: Callable = utc_now, sleep: Callable[[float], None] = time.sleep):
         self.spark, self.root, self.settings, self.clock = spark, root.rstrip("/"), settings, clock
         self.events = events or Events(sink=lambda e: None)
         self.registry = Registry()
         self.store = Store(spark, f"{self.root}/entries")
         self.exports, self.imports = Jobs(settings, clock), Jobs(settings, clock)
-        self._driver = driver
-        self._next_id: int | None = None
+        self.dead = Store(spark, f"{self.root}/quarantine")
+        self._driver, self.sleep = driver, sleep
 
     # state: the registry and the job tables, beside the records
 
@@ -76,6 +80,10 @@ class Engine:
         df = self.store.read()
         if df is None:
             df = self.spark.createDataFrame([], "entry_id long, tenant_id long, model_id int, created_at timestamp_ntz, updated_at timestamp_ntz, deleted_at timestamp_ntz, fields string")
+        return self._with(df, fields)
+
+    @staticmethod
+    def _with(df: DataFrame, fields: dict | None) -> DataFrame:
         new: dict[str, Column] = {}
         for view in (fields or {}).values():
             if view.slot is not None:
@@ -125,40 +133,45 @@ class Engine:
         return F.lit(self.clock()).cast("timestamp_ntz")
 
     def _take_ids(self, n: int) -> int:
-        """The first of n new ids; ids never run backwards, whatever was deleted."""
-        if self._next_id is None:
-            df = self.store.read()
-            top = df.agg(F.max("entry_id")).first()[0] if df is not None else None
-            self._next_id = (top or 0) + 1
-        first, self._next_id = self._next_id, self._next_id + n
-        return first
+        """The first of n new ids; no other writer gets them, and they never run backwards, whatever was deleted."""
+        return self.store.reserve(n)
 
-    def _append(self, rows: DataFrame, fields: dict, n: int) -> list[int]:
-        first = self._take_ids(n)
-        out = ingest.stamped(rows, first, self._now())
-        missing = rows.where(F.size("missing") > 0)
-        have = self.store.read()
-        if have is None or set(out.columns) - set(have.columns):
-            merged = out if have is None else self.records(fields).unionByName(out, allowMissingColumns=True)
-            self.store.write(merged)
-        else:
-            self.store.append(out)
-        if not missing.isEmpty():
-            enqueue(ingest.assign_ids(rows.select("idx", "missing"), first).where(F.size("missing") > 0), f"{self.root}/outbox")
-            self.events.emit("api", "exhaustion_fallback", rows=missing.count())
-        return [first, first + n - 1]
+    def _work(self) -> str:
+        return f"{self.root}/work/{uuid.uuid4().hex}"
+
+    def _append(self, frames: Sequence[DataFrame], queued: int | None = None, notes: dict | None = None, once: str | None = None) -> None:
+        """Split rows with entry ids, one frame for each model, as one version.
+
+        Entries with a field that has no slot are queued first: should the write fail after
+        that, the queue reports ids without an entry; the other way round it would lose some.
+        """
+        waiting = [df.where(F.size("missing") > 0).select("entry_id") for df in frames]
+        if queued is None:
+            queued = sum(w.count() for w in waiting)
+        if queued:
+            for w in waiting:
+                enqueue(w, f"{self.root}/outbox")
+            self.events.emit("api", "exhaustion_fallback", rows=queued)
+        self.store.append(*(ingest.stamped(df, self._now()) for df in frames), notes=notes, once=once)
+
+    def _split(self, envelopes: list[dict]) -> list[DataFrame]:
+        """A frame for each model; idx is the place in ``envelopes``."""
+        rows = ingest.batch(self.spark, envelopes)
+        models = sorted({e["model_id"] for e in envelopes})
+        return [ingest.split(rows.where(F.col("model_id") == m), self.registry.view(m)) for m in models]
 
     def write(self, tenant_id: int, model_id: int, fields: dict) -> int:
         """One entry; a value that does not fit its type rejects it whole."""
-        view = self._fields(tenant_id, model_id)
-        rows = ingest.split(ingest.batch(self.spark, [{"tenant_id": tenant_id, "model_id": model_id, "fields": fields}]), view)
+        self._fields(tenant_id, model_id)
+        (rows,) = self._split([{"tenant_id": tenant_id, "model_id": model_id, "fields": fields}])
         ingest.require_clean(rows)
-        first, _ = self._append(rows, view, 1)
+        first = self._take_ids(1)
+        self._append([rows.withColumn("entry_id", F.lit(first).cast("long"))])
         self.events.emit("api", "entry_written", tenant_id=tenant_id, entry_id=first)
         return first
 
     def bulk_write(self, raw: Any, chunk_size: int | None = None) -> list[dict]:
-        """Chunks commit independently; gives the manifest."""
+        """Chunks commit independently, each whole; gives the manifest."""
         envelopes = ingest.parse_envelopes(raw)
         try:
             ingest.check_bulk_size(len(envelopes), self.settings)
@@ -168,54 +181,63 @@ class Engine:
         size, out = chunk_size or self.settings.bulk_chunk, []
         for start in range(0, len(envelopes), size):
             part = envelopes[start : start + size]
-            views = [self._fields(e["tenant_id"], e["model_id"]) for e in part]
-            by_model: dict[int, list[dict]] = {}
             for e in part:
-                by_model.setdefault(e["model_id"], []).append(e)
-            split = {m: ingest.split(ingest.batch(self.spark, es), self.registry.view(m)) for m, es in by_model.items()}
-            bad = [r["faults"] for rows in split.values() for r in rows.where(F.size("faults") > 0).select("faults").limit(1).collect()]
-            ok = not bad and len(views) == len(part)
-            if ok:
-                for m, rows in split.items():
-                    self._append(rows, self.registry.view(m), len(by_model[m]))
-            self.events.emit("api", "bulk_chunk_committed" if ok else "bulk_chunk_rolled_back", chunk=len(out), rows=len(part))
-            out.append({"chunk": len(out), "rows": len(part), "status": "committed" if ok else "rolled_back", "errors": bad})
+                self._fields(e["tenant_id"], e["model_id"])
+            frames = self._split(part)
+            bad = [r["faults"] for rows in frames for r in rows.where(F.size("faults") > 0).select("faults").limit(1).collect()]
+            if not bad:
+                first = self._take_ids(len(part))
+                self._append([rows.withColumn("entry_id", F.col("idx") + F.lit(first)) for rows in frames])
+            self.events.emit("api", "bulk_chunk_rolled_back" if bad else "bulk_chunk_committed", chunk=len(out), rows=len(part))
+            out.append({"chunk": len(out), "rows": len(part), "status": "rolled_back" if bad else "committed", "errors": bad})
         return out
 
     def ingest(self, rows: DataFrame, tenant_id: int, model_id: int) -> DataFrame:
-        """A DataFrame (idx, tenant_id, model_id, fields) of any size; gives the chunk manifest and writes the clean chunks."""
-        view = self._fields(tenant_id, model_id)
-        chunks = ingest.chunked(ingest.split(rows, view), self.settings.bulk_chunk).persist()
-        manifest = self.spark.createDataFrame(ingest.chunk_manifest(chunks).toArrow())
-        clean = chunks.where("chunk_ok").drop("chunk", "chunk_ok")
-        self._append(clean, view, clean.count())
-        chunks.unpersist()
+        """A DataFrame (idx, tenant_id, model_id, fields) of any size; gives the chunk manifest and writes the clean chunks.
+
+        The split rows are written once; manifest, numbers and the store all come from that table.
+        """
+        view, where = self._fields(tenant_id, model_id), self._work()
+        chunks = materialise(ingest.chunked(ingest.split(rows, view), self.settings.bulk_chunk), f"{where}/chunks")
+        manifest = materialise(ingest.chunk_manifest(chunks), work_dir(self.spark, "manifest") + "/rows")
+        bad = manifest.where("status = 'rolled_back'").select("chunk")
+        clean = numbered(chunks.join(bad, "chunk", "left_anti"), ["idx"], f"{where}/numbered")
+        n = clean.count()
+        if n:
+            self._append([ingest.with_ids(clean, self._take_ids(n))])
+        remove(self.spark, where)
         return manifest
 
+    def _of(self, tenant_id: int, model_id: int, entry_id: int) -> Column:
+        return (F.col("tenant_id") == tenant_id) & (F.col("model_id") == model_id) & (F.col("entry_id") == entry_id)
+
     def update(self, tenant_id: int, entry_id: int, fields: dict) -> None:
+        """Rewrites the file that holds the entry."""
         old = self.get(tenant_id, entry_id)
         if old is None:
             raise EntryNotFound(f"no entry {entry_id}")
-        view = self.registry.view(old["model_id"])
-        self.store.write(ingest.replace_entry(self.records(view), view, tenant_id, entry_id, json.dumps(fields, ensure_ascii=False), self._now()))
+        view, text = self.registry.view(old["model_id"]), json.dumps(fields, ensure_ascii=False)
+        self.store.rewrite(self._of(tenant_id, old["model_id"], entry_id), lambda df: [ingest.replace_entry(self._with(self._own(df, old["model_id"]), view), view, tenant_id, entry_id, text, self._now())])
         self.events.emit("api", "entry_updated", tenant_id=tenant_id, entry_id=entry_id)
 
     def delete(self, tenant_id: int, entry_id: int) -> bool:
-        df, changed = ingest.soft_delete(self.records(), tenant_id, entry_id, self._now())
-        if changed:
-            self.store.write(df)
-            self.events.emit("api", "entry_deleted", tenant_id=tenant_id, entry_id=entry_id)
-        return changed
+        """Rewrites the file that holds the entry; true only if it was not deleted yet."""
+        old = self.get(tenant_id, entry_id)
+        if old is None:
+            return False
+        self.store.rewrite(self._of(tenant_id, old["model_id"], entry_id), lambda df: [ingest.soft_delete(self._own(df, old["model_id"]), tenant_id, entry_id, self._now())[0]])
+        self.events.emit("api", "entry_deleted", tenant_id=tenant_id, entry_id=entry_id)
+        return True
 
     # jobs
 
     def submit_bulk_write(self, raw: Any, key: str | None = None) -> Job:
         envelopes = ingest.parse_envelopes(raw)
-        tenant_id, document = import_artifact(envelopes)
+        tenant_id, lines = import_artifact(envelopes)
         job = self.imports.submit(tenant_id, key)
         if job.artifact_path is None:
             path = f"{self.root}/imports/{job.id}"
-            self.spark.createDataFrame([(document,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+            self.spark.createDataFrame([(x,) for x in lines], "value string").write.mode("overwrite").text(path)
             job = self.imports.update(job.id, artifact_path=path)
             self.events.emit("api", "bulk_accepted", tenant_id=tenant_id, job=job.id, entities=len(envelopes))
         return job
@@ -225,34 +247,42 @@ class Engine:
         if job is None:
             return None
         self.events.emit("reconciler", "chunk_claimed", job=job.id)
-        commit = lambda rows, n: self._append(rows, self.registry.view(rows.select("model_id").first()[0]), n)
-        job = run_import(self.spark, self.imports, job, self.registry.view, commit, lambda df: self._quarantine(df, "bulk_import"), self.settings)
+        where, note = self._work(), f"import {job.id}"
+
+        def commit(frames: list[DataFrame], start: int, end: int, queued: int) -> None:
+            """A round and the position after it are one version; should another worker have committed the round, nothing changes."""
+            first = self._take_ids(end - start)
+            rows = [df.withColumn("entry_id", F.col("idx") - F.lit(start) + F.lit(first)) for df in frames]
+            self._append(rows, queued, {note: end}, once=f"{note} from {start}")
+
+        try:
+            job = run_import(self.spark, self.imports, job, self.registry.view, self.store.note(note) or 0, commit, lambda df: self._quarantine(df, "bulk_import"), where, self.settings)
+        except LeaseLost:
+            self.events.emit("reconciler", "lease_lost", job=job.id)
+            return self.imports.rows[job.id]
+        finally:
+            remove(self.spark, where)
         self.events.emit("reconciler", "chunk_complete" if job.status == "completed" else "chunk_partial", job=job.id)
         return job
 
-    def _quarantine(self, df: DataFrame, source: str) -> None:
+    def _quarantine(self, df: DataFrame, source: str, once: str | None = None) -> None:
         if df.isEmpty():
             return
         rows = df.select(F.lit(source).alias("source"), "entry_id", "tenant_id", "model_id", "reason", "error_message", self._now().alias("failed_at"), F.lit(0).alias("retry_count"), F.lit(self.events.correlation_id).alias("chunk_id"))
-        rows.write.mode("append").parquet(f"{self.root}/quarantine")
+        self.dead.append(rows, once=once)
         self.events.emit("reconciler", "dlq_inserted")
 
     def quarantined(self) -> DataFrame:
-        from pyspark.errors import AnalysisException
-
-        try:
-            df = self.spark.read.schema(QUARANTINE).parquet(f"{self.root}/quarantine")
-        except AnalysisException:
-            df = self.spark.createDataFrame([], QUARANTINE)
+        df = self.dead.read()
+        df = self.spark.createDataFrame([], QUARANTINE) if df is None else df.select(*QUARANTINE.names)
         return df.withColumn("id", F.xxhash64(*QUARANTINE.names))
 
     def replay(self, reason: str | None = None, ids: list[int] | None = None) -> int:
-        dead = self.quarantined()
-        again, left = replay(dead, ids, reason)
+        """Gives the number of entries queued again.  They are queued before they leave the quarantine, so a failure repeats some and loses none."""
+        again, left = replay(self.quarantined(), ids, reason)
         n = again.count()
-        kept = self.spark.createDataFrame(left.drop("id").toArrow(), QUARANTINE)
         enqueue(again, f"{self.root}/outbox")
-        kept.write.mode("overwrite").parquet(f"{self.root}/quarantine")
+        self.dead.write(left.drop("id"))
         return n
 
     def drain_outbox(self) -> None:
@@ -263,27 +293,35 @@ class Engine:
         for f in self.registry.fields:
             if f.filterable and self.registry.view(f.model_id)[f.name].slot is None:
                 self.registry = self.registry.reserve(f, "assigned", indexed_only=True)
-        by_model = {m.id: self.registry.view(m.id) for m in self.registry.models}
+        outbox = f"{self.root}/outbox"
+
+        def good(frames: dict[int, DataFrame], _batch: int) -> None:
+            frames = {m: df for m, df in frames.items() if not df.isEmpty()}
+            if not frames:
+                return
+            keys = None
+            for df in frames.values():
+                own = df.select("tenant_id", "model_id", "entry_id")
+                keys = own if keys is None else keys.union(own)
+
+            def change(old: DataFrame) -> list[DataFrame]:
+                """Records of the touched files, each of one model: those that were drained with their new values, the others as they are."""
+                times = old.select("entry_id", "created_at", "updated_at", "deleted_at")
+                return [ingest.upsert(self._own(old.where(F.col("model_id") == m), m), df.withColumn("seq", F.lit(0)).join(times, "entry_id")) for m, df in frames.items()]
 
-        def good(df: DataFrame, _batch: int) -> None:
-            if not df.isEmpty():
-                self.store.write(ingest.upsert(self.records(), df.withColumn("seq", F.lit(0)).join(self.records().select("entry_id", "created_at", "updated_at", "deleted_at"), "entry_id")))
+            self.store.rewrite(keys, change)
 
-        def faulty(df: DataFrame, first: bool) -> DataFrame:
-            """Rows for quarantine; every stream reads the whole queue, so the first model's reports the ids that no model has."""
-            own = df.where("reason <> 'missing_entry_data'")
-            if first:
-                own = own.union(df.where("reason = 'missing_entry_data'").join(self.records().select("entry_id"), "entry_id", "left_anti").select(*df.columns))
-            return own.withColumn("error_message", F.concat_ws(", ", "faults"))
+        bad = lambda df, batch: self._quarantine(df, "sync_queue", once=f"outbox {batch}")
+        waiting = lambda df, name: None if df.isEmpty() else requeue(df, outbox, f"waiting-{name}")
+        drain(self.spark, outbox, f"{self.root}/outbox-progress", self.records, self.registry.view, good, bad, waiting, self._work()).awaitTermination()
 
-        for model_id, view in by_model.items():
-            mine = lambda m=model_id, v=view: self.records(v).where(F.col("model_id") == m)
-            bad = lambda df, _b, m=model_id: self._quarantine(faulty(df, m == min(by_model)), "sync_queue")
-            waiting = lambda df, b, m=model_id: None if df.isEmpty() else requeue(df, f"{self.root}/outbox", f"waiting-{m}-{b}")
-            drain(self.spark, f"{self.root}/outbox", f"{self.root}/outbox-progress/{model_id}", mine, lambda v=view: v, good, bad, waiting).awaitTermination()
+    def _own(self, df: DataFrame, model_id: int) -> DataFrame:
+        """Without the columns of other models' fields."""
+        own = {f"f_{f.id}_" for f in self.registry.fields if f.model_id == model_id}
+        return df.select(*(c for c in df.columns if not c.startswith("f_") or c[: c.rindex("_") + 1] in own))
 
     def reconcile(self) -> str:
-        """One round of background work in fixed order: queued entries, then one import.
+        """One round of background work in fixed order: queued entries, then one import, then one change of type.
 
         ``capacity_wait``: some field still has no slot, so entries stay queued for the next page.
         """
@@ -293,7 +331,18 @@ class Engine:
         if waiting:
             self.events.emit("reconciler", "capacity_wait")
             return "capacity_wait"
-        return "import" if self.run_next_import() else "idle"
+        if self.run_next_import():
+            return "import"
+        return "retype" if self.run_next_retype() else "idle"
+
+    def run_next_retype(self) -> bool:
+        """Finish one change of type that was put off, or that a driver which died left unfinished."""
+        if not self.registry.pending:
+            return False
+        field_id, source = self.registry.pending[0]
+        f = next(f for f in self.registry.fields if f.id == field_id)
+        self._backfill(f.model_id, f.name, source)
+        return True
 
     def _exists(self, uri: str) -> bool:
         path, fs = self.store.file(uri)
@@ -308,27 +357,47 @@ class Engine:
         return self.exports.get(tenant_id, job_id)
 
     def run_next_export(self, apply_filter: bool = True) -> Job | None:
-        job = self.exports.claim(fair=True) if self._room() else None
+        if not self._room():
+            return None
+        job = self.exports.claim(fair=True)
         if job is None:
+            self.collect_garbage()
             return None
         self.events.emit("chronicler", "job_claimed", job=job.id)
+        path = f"{self.root}/exports/{job.id}"
+        for wait in (*self.settings.export_backoff, None):
+            try:
+                job = self.exports.beat(job)
+                skipped = self._export(job, path, apply_filter)
+                self.exports.beat(job)
+                self.events.emit("chronicler", "job_complete", job=job.id, skipped=skipped)
+                return self.exports.update(job.id, status="completed", artifact_path=path, manifest={"skipped": skipped})
+            except LeaseLost:
+                self.events.emit("chronicler", "lease_lost", job=job.id)
+                return self.exports.rows[job.id]
+            except EngineError as e:  # the job's own fault: trying again would not help
+                self._export_failed(job, str(e)[:200])
+                raise
+            except Exception:
+                if wait is None:
+                    self._export_failed(job, "query_failure")
+                    raise
+                self.events.emit("chronicler", "deadlock_retry", job=job.id, seconds=wait)
+                self.sleep(wait)
+
+    def _export(self, job: Job, path: str, apply_filter: bool) -> int:
         model_id = job.request["model_id"]
         fields = self._fields(job.tenant_id, model_id)
-        path = f"{self.root}/exports/{job.id}"
-        try:
-            node = self._tree(job.request["filter"], fields)
-            rows = export.rows_of(self.records(fields), fields, job.tenant_id, model_id, node, apply_filter, self.settings)
-            skipped = 0
-            if job.request["format"] == "csv":
-                skipped = export.write_csv(rows, export.header_fields(fields), path, self.settings)
-            else:
-                export.write_json(rows, path, self.settings)
-        except Exception as e:
-            self.events.emit("chronicler", "job_failed", job=job.id, reason=str(e)[:200])
-            self.exports.update(job.id, status="failed", failed_reason=str(e)[:200])
-            raise
-        self.events.emit("chronicler", "job_complete", job=job.id, skipped=skipped)
-        return self.exports.update(job.id, status="completed", artifact_path=path, manifest={"skipped": skipped})
+        node = self._tree(job.request["filter"], fields)
+        rows = export.rows_of(self.records(fields), fields, job.tenant_id, model_id, node, apply_filter, self.settings)
+        if job.request["format"] == "csv":
+            return export.write_csv(rows, export.header_fields(fields), path, self.settings)
+        export.write_json(rows, path, self.settings)
+        return 0
+
+    def _export_failed(self, job: Job, reason: str) -> None:
+        self.events.emit("chronicler", "job_failed", job=job.id, reason=reason)
+        self.exports.update(job.id, status="failed", failed_reason=reason)
 
     def collect_garbage(self) -> int:
         """Delete old artifacts of finished jobs."""
@@ -353,37 +422,40 @@ class Engine:
 
     # fields that change
 
-    def retype_field(self, tenant_id: int, model_id: int, name: str, target: str) -> DataFrame | None:
-        """Gives the audit of values that could not be coerced; None if nothing had to be filled in."""
-        source = self._fields(tenant_id, model_id)[name].field.declared_type if name in self._fields(tenant_id, model_id) else None
+    def retype_field(self, tenant_id: int, model_id: int, name: str, target: str, later: bool = False) -> DataFrame | None:
+        """Gives the audit of values that could not be coerced; None if nothing had to be filled in, or ``later``: by ``reconcile``."""
+        self._fields(tenant_id, model_id)
         reg, due = lifecycle.begin_retype(self.registry, model_id, name, target)
         self.events.emit("registry", "retype_started", field=name, target=target)
-        return self._finish(reg, due, model_id, name, source)
+        return self._finish(reg, due and not later, model_id, name)
 
     def promote(self, tenant_id: int, model_id: int, name: str) -> DataFrame | None:
-        source = self.registry.field(model_id, name).field.declared_type
         reg, due = lifecycle.promote(self.registry, model_id, name)
-        return self._finish(reg, due, model_id, name, source)
+        return self._finish(reg, due, model_id, name)
 
     def demote(self, tenant_id: int, model_id: int, name: str) -> None:
         self.registry = lifecycle.demote(self.registry, model_id, name)
 
-    def _finish(self, reg: Registry, due: bool, model_id: int, name: str, source: str) -> DataFrame | None:
+    def _finish(self, reg: Registry, due: bool, model_id: int, name: str) -> DataFrame | None:
         self.registry = reg  # from here on the field reads from JSON
-        if not due:
-            return None
-        view = reg.view(model_id)[name]
-        records = self.records().drop(view.column)
-        self.store.write(lifecycle.backfill(records, view, source))
+        return self._backfill(model_id, name, dict(reg.pending)[reg.field(model_id, name).field.id]) if due else None
+
+    def _backfill(self, model_id: int, name: str, source: str) -> DataFrame:
+        """Rewrites the model's files, no others; again from the start if it did not come to its end."""
+        view = self.registry.view(model_id)[name]
+        change = lambda df: [lifecycle.backfill(self._own(df, model_id).drop(view.column), view, source)]
+        self.store.rewrite(F.col("model_id") == model_id, change)
         self.registry = lifecycle.finish_retype(self.registry, model_id, name)
         self.events.emit("registry", "promote_to_ready", field=name)
         self.advise(model_id)
         return lifecycle.audit(self.records(), view, source)
 
     def sweep(self) -> int:
-        self.registry, df, dead = lifecycle.sweep(self.registry, self.records())
-        if dead and self.store.version() is not None:
-            self.store.write(df)
+        """Slots of changed fields become free; files of the models that had them are rewritten without their columns."""
+        self.registry, gone, dead = lifecycle.sweep(self.registry, self.records().columns)
+        if gone:
+            owners = sorted({f.model_id for f in self.registry.fields for c in gone if c.startswith(f"f_{f.id}_")})
+            self.store.rewrite(F.col("model_id").isin(owners), lambda df: [self._own(df.where(F.col("model_id") == m), m).drop(*gone) for m in owners], without=gone)
         self.events.emit("liberator", "sweep_complete", slots=len(dead))
         return len(dead)
 
@@ -404,7 +476,7 @@ class Engine:
             view = next(v for v in self.registry.view(model_id).values() if v.field.id == move.field_id)
             kind = view.field.declared_type
             reg, due = lifecycle.begin_retype(self.registry, model_id, view.field.name, kind, only_page=move.to_page)
-            self._finish(reg, due, model_id, view.field.name, kind)
+            self._finish(reg, due, model_id, view.field.name)
         if not dry_run:
             self.events.emit("registry", "compaction_complete", model=model_id)
         return plan

@@ -35,6 +35,12 @@ class UncoercibleValue(EngineError, ValueError): ...
 class EntryNotFound(EngineError, LookupError): ...
 
 
+class ConcurrentWrite(EngineError): ...
+
+
+class LeaseLost(EngineError): ...
+
+
 class FieldNotFound(EngineError, LookupError): ...
 
 

@@ -22,20 +22,25 @@ def payload(fields: Column) -> Column:
     return F.try_parse_json(fields)
 
 
-def key_present(fields: Column, key: str) -> Column:
-    return F.coalesce(F.array_contains(F.json_object_keys(fields), F.lit(key)), F.lit(False))
-
-
 def value_of(variant: Column, key: str) -> Column:
+    """Null only where the key is absent; a JSON null is a variant of its own."""
     return F.try_variant_get(variant, path_of(key), "variant")
 
 
+def kind_of(v: Column) -> Column:
+    return F.schema_of_variant(v)
+
+
+def text_of(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "string")
+
+
 class JsonValue:
-    """One JSON value, told apart by its own type."""
+    """One JSON value, told apart by its own type; ``kind`` and ``text`` may be columns that hold them already."""
 
-    def __init__(self, v: Column):
+    def __init__(self, v: Column, kind: Column | None = None, text: Column | None = None):
         self.v = v
-        kind = F.schema_of_variant(v)
+        kind = kind_of(v) if kind is None else kind
         self.absent = v.isNull() | F.is_variant_null(v)
         self.is_string = kind == "STRING"
         self.is_bool = kind == "BOOLEAN"
@@ -43,7 +48,7 @@ class JsonValue:
         self.is_float = kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
         self.is_number = self.is_int | self.is_float
         self.is_scalar = self.is_string | self.is_bool | self.is_number
-        self.string = F.try_variant_get(v, "$", "string")
+        self.string = text_of(v) if text is None else text
         self.int = F.try_variant_get(v, "$", "bigint")
         self.double = F.try_variant_get(v, "$", "double")
         self.bool = F.try_variant_get(v, "$", "boolean")

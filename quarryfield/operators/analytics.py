@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
 from ..types import FAMILY, FAMILY_SLOTS, LIVE, QUERYABLE, Settings
 
 
@@ -97,10 +98,14 @@ def affine_slots(requests: DataFrame, fields: DataFrame, slots: DataFrame) -> Da
     return df.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("model_id", "slot_type", "page_id", "slot_id", F.col("host").isNotNull().alias("affine"))
 
 
-def round_robin(jobs: DataFrame) -> DataFrame:
-    """Pending jobs in order of service: tenants by their oldest job, then each tenant's own by age."""
-    oldest = F.min("created_at").over(Window.partitionBy("tenant_id"))
-    return jobs.withColumn("tenant_oldest", oldest).withColumn("position", F.row_number().over(Window.orderBy("tenant_oldest", "created_at", "id")))
+def round_robin(jobs: DataFrame, where: str) -> DataFrame:
+    """Pending jobs in order of service: tenants by their oldest job, then each tenant's own by age.
+
+    Positions come from range-partitioned tasks, whose table is written to ``where``.
+    """
+    oldest = jobs.groupBy("tenant_id").agg(F.min("created_at").alias("tenant_oldest"))
+    placed = numbered(jobs.join(oldest, "tenant_id"), ["tenant_oldest", "created_at", "id"], where, "position")
+    return placed.withColumn("position", F.col("position") + 1)
 
 
 def next_job(jobs: DataFrame) -> DataFrame:
@@ -123,6 +128,20 @@ def gc_candidates(jobs: DataFrame, now: Column, settings: Settings = Settings())
     return jobs.where(F.col("artifact_path").isNotNull() & done)
 
 
+def duplicate_live_slots(slots: DataFrame) -> DataFrame:
+    """Fields with more than one live slot; the invariant is that there are none."""
+    return slots.where(F.col("status").isin(*LIVE) & F.col("field_id").isNotNull()).groupBy("field_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def hosting_pages(fields: DataFrame, slots: DataFrame) -> DataFrame:
+    """Each model's pages, once."""
+    return slots.select("page_id", F.col("field_id").alias("id")).join(fields.select("id", "model_id"), "id").select("model_id", "page_id").distinct()
+
+
+def next_page_number(slots: DataFrame) -> DataFrame:
+    return slots.agg((F.coalesce(F.max("page_id"), F.lit(0)) + 1).alias("next_page"))
+
+
 def schema_listing(models: DataFrame, fields: DataFrame, slots: DataFrame) -> DataFrame:
     live = slots.where(F.col("status").isin(*QUERYABLE) & F.col("field_id").isNotNull()).select(F.col("field_id").alias("field_id"), F.lit(True).alias("_live"))
     f = fields.select(F.col("id").alias("field_id"), "model_id", F.col("name").alias("field_name"), "declared_type", "is_filterable")

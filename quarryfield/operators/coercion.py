@@ -42,9 +42,9 @@ def _long_of(d: Column) -> Column:
     return F.when(_in_int64(d), d).try_cast("bigint")
 
 
-def write_value(v: Column, declared: str) -> Column:
+def write_value(v: Column, declared: str, kind: Column | None = None, text: Column | None = None) -> Column:
     """First write.  Reasons: unparseable, out_of_range, malformed_number, malformed_datetime, too_long."""
-    j = JsonValue(v)
+    j = JsonValue(v, kind, text)
     none = F.lit(None).cast("string")
     if declared == STRING:
         text = F.when(j.is_float, float_text(j.double)).when(j.is_bool, F.when(j.bool, "1").otherwise("")).otherwise(j.string)

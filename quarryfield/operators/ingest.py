@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import EntryNotFound, MalformedPayload, PayloadTooLarge, UncoercibleValue, tenant
-from ..functions.records import key_present, payload, value_of
+from ..functions.numbering import numbered
+from ..functions.records import kind_of, payload, text_of, value_of
 from ..registry import FieldView
 from ..types import SPARK_TYPE, Settings
 from .coercion import write_value
@@ -53,16 +54,21 @@ def split(rows: DataFrame, fields: dict[str, FieldView]) -> DataFrame:
 
     Fields not registered or not filterable stay in the payload alone.
     """
-    variant = payload(F.col("fields"))
+    wanted = [(i, name, view) for i, (name, view) in enumerate(fields.items()) if view.field.filterable]
+    # Each step is a column of its own, used more than once, so that Catalyst computes it once: the
+    # parsed payload, the value of each key (null only if the key is absent), its kind and text, its outcome.
+    df = rows.withColumn("_payload", payload(F.col("fields")))
+    df = df.withColumns({f"_value_{i}": value_of(F.col("_payload"), name) for i, name, _ in wanted})
+    mapped = [(i, f"_value_{i}", view.field.declared_type) for i, _, view in wanted if view.slot is not None]
+    df = df.withColumns({f"_kind_{i}": kind_of(F.col(v)) for i, v, _ in mapped} | {f"_text_{i}": text_of(F.col(v)) for i, v, _ in mapped})
+    df = df.withColumns({f"_outcome_{i}": write_value(F.col(v), declared, F.col(f"_kind_{i}"), F.col(f"_text_{i}")) for i, v, declared in mapped})
     typed, groups, missing, faults = {}, {}, [], []
-    for name, view in fields.items():
-        if not view.field.filterable:
-            continue
-        present = key_present(F.col("fields"), name)
+    for i, name, view in wanted:
+        present = F.col(f"_value_{i}").isNotNull()
         if view.slot is None:
             missing.append(F.when(present, F.lit(name)))
             continue
-        outcome = write_value(value_of(variant, name), view.field.declared_type)
+        outcome = F.col(f"_outcome_{i}")
         typed[view.column] = outcome["value"].cast(SPARK_TYPE[view.field.declared_type])
         faults.append(F.when(outcome["reason"].isNotNull(), F.concat(F.lit(f"{name}: "), outcome["reason"])))
         groups.setdefault(view.group, []).append(present)
@@ -72,26 +78,23 @@ def split(rows: DataFrame, fields: dict[str, FieldView]) -> DataFrame:
         present[group] = cols[0]
         for c in cols[1:]:
             present[group] = present[group] | c
-    return rows.withColumns({**typed, **present, "missing": some(missing), "faults": F.when(variant.isNull(), F.array(F.lit("malformed_json"))).otherwise(some(faults))})
+    faulty = F.when(F.col("_payload").isNull(), F.array(F.lit("malformed_json"))).otherwise(some(faults))
+    return df.select(*rows.columns, *(c.alias(n) for n, c in (typed | present).items()), some(missing).alias("missing"), faulty.alias("faults"))
 
 
-def assign_ids(rows: DataFrame, first: int) -> DataFrame:
-    """``entry_id`` from ``first`` on, in order of idx.
+def assign_ids(rows: DataFrame, first: int, where: str) -> DataFrame:
+    """``entry_id`` from ``first`` on, in order of idx; the numbered rows are written to ``where`` once."""
+    return with_ids(numbered(rows, ["idx"], where), first)
 
-    Each range-partitioned task numbers its own rows; the tasks' counts, one row each, shift
-    them.  No task sees all rows.
-    """
-    placed = rows.repartitionByRange("idx").sortWithinPartitions("idx").withColumn("_task", F.spark_partition_id())
-    own = placed.withColumn("_nth", F.row_number().over(Window.partitionBy("_task").orderBy("idx")))
-    counts = placed.groupBy("_task").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_task")) - F.col("_n")).select("_task", "_before")
-    return own.join(F.broadcast(before), "_task").withColumn("entry_id", F.col("_before") + F.col("_nth") + (first - 1)).drop("_task", "_nth", "_before")
+
+def with_ids(rows: DataFrame, first: int) -> DataFrame:
+    return rows.withColumn("entry_id", F.col("nth") + F.lit(first)).drop("nth")
 
 
-def stamped(split_rows: DataFrame, first: int, now: Column) -> DataFrame:
-    df = assign_ids(split_rows, first)
-    keep = [c for c in df.columns if c not in ("idx", "missing", "faults", "entry_id", "tenant_id", "model_id", "fields", "chunk")]
-    return df.select("entry_id", "tenant_id", "model_id", now.alias("created_at"), now.alias("updated_at"), F.lit(None).cast("timestamp_ntz").alias("deleted_at"), "fields", *keep)
+def stamped(rows: DataFrame, now: Column) -> DataFrame:
+    """Split rows with an entry_id as the store keeps them."""
+    keep = [c for c in rows.columns if c not in ("idx", "missing", "faults", "entry_id", "tenant_id", "model_id", "fields", "chunk")]
+    return rows.select("entry_id", "tenant_id", "model_id", now.alias("created_at"), now.alias("updated_at"), F.lit(None).cast("timestamp_ntz").alias("deleted_at"), "fields", *keep)
 
 
 def require_clean(split_rows: DataFrame) -> None:
@@ -106,16 +109,16 @@ def check_bulk_size(n: int, settings: Settings = Settings()) -> None:
 
 
 def chunked(split_rows: DataFrame, chunk_size: int) -> DataFrame:
-    """Adds chunk and chunk_ok: one bad row rolls back its chunk and no other."""
-    df = split_rows.withColumn("chunk", F.floor(F.col("idx") / chunk_size).cast("long"))
-    return df.withColumn("chunk_ok", ~F.bool_or(F.size("faults") > 0).over(Window.partitionBy("chunk")))
+    return split_rows.withColumn("chunk", F.floor(F.col("idx") / chunk_size).cast("long"))
 
 
 def chunk_manifest(chunks: DataFrame) -> DataFrame:
+    """One bad row rolls back its chunk and no other."""
+    bad = F.size("faults") > 0
     return chunks.groupBy("chunk").agg(
-        F.when(F.bool_and("chunk_ok"), "committed").otherwise("rolled_back").alias("status"),
+        F.when(F.bool_or(bad), "rolled_back").otherwise("committed").alias("status"),
         F.count(F.lit(1)).alias("rows"),
-        F.min(F.when(F.size("faults") > 0, F.col("idx"))).alias("first_bad"),
+        F.min(F.when(bad, F.col("idx"))).alias("first_bad"),
     )
 
 

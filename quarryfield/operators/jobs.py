@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import ActiveExportCap, ArtifactError, MalformedPayload, QuarantineEmpty, tenant
+from ..errors import ActiveExportCap, ArtifactError, LeaseLost, MalformedPayload, QuarantineEmpty, tenant
 from ..types import Settings
 from .ingest import BATCH, parse_envelope
 
@@ -102,6 +102,12 @@ class Jobs:
             return None
         return self.update(chosen.id, status="processing", worker=uuid.uuid4().hex, heartbeat_at=self.clock())
 
+    def beat(self, job: Job, **changes) -> Job:
+        """Show that the worker is alive; ``LeaseLost`` if another has claimed its job meanwhile."""
+        if self.rows[job.id].worker != job.worker or self.rows[job.id].status != "processing":
+            raise LeaseLost(f"job {job.id} has another worker")
+        return self.update(job.id, heartbeat_at=self.clock(), **changes)
+
     def update(self, job_id: int, **changes) -> Job:
         if changes.get("status") in ("completed", "failed"):
             changes.setdefault("completed_at", self.clock())
@@ -121,27 +127,26 @@ class Jobs:
         return len(found)
 
 
-def import_artifact(envelopes: list[dict]) -> tuple[int, str]:
-    """(tenant, JSON document) of an import: at least one entity, all of one tenant."""
+def import_artifact(envelopes: list[dict]) -> tuple[int, list[str]]:
+    """(tenant, lines of JSON) of an import: at least one entity, all of one tenant; each line says its place."""
     if not envelopes:
         raise MalformedPayload("", "at least one entity is needed")
     tenants = {e["tenant_id"] for e in envelopes}
     if len(tenants) > 1:
         raise MalformedPayload("tenantId", "all entities must be of one tenant")
     t = tenant(tenants.pop())
-    return t, json.dumps({"tenant_id": t, "entries": [{"tenantId": t, "modelId": e["model_id"], "fields": e["fields"]} for e in envelopes]}, ensure_ascii=False)
+    return t, [json.dumps({"idx": i, "tenantId": t, "modelId": e["model_id"], "fields": e["fields"]}, ensure_ascii=False) for i, e in enumerate(envelopes)]
 
 
 def read_artifact(spark, path: str) -> DataFrame:
-    """The entities of an import artifact as a batch; the document is one JSON value, split by Spark."""
-    kind = "struct<tenant_id:bigint,entries:array<string>>"
-    doc = spark.read.option("wholetext", True).text(path).select(F.from_json("value", kind).alias("d"))
-    first = doc.select("d.tenant_id", F.size("d.entries").alias("n")).first()
-    if first is None or first["tenant_id"] is None or first["n"] < 0:
+    """The entities of an import artifact as a batch, read by many tasks; a damaged line or a gap rejects it."""
+    lines = spark.read.text(path).where("value <> ''")
+    rows = lines.select(F.from_json("value", "struct<idx:bigint,tenantId:bigint,modelId:int,fields:string>").alias("v"))
+    rows = rows.select("v.idx", F.col("v.tenantId").alias("tenant_id"), F.col("v.modelId").alias("model_id"), "v.fields")
+    n, damaged, distinct, last = rows.agg(F.count(F.lit(1)), F.count_if(F.expr("idx IS NULL OR tenant_id IS NULL OR model_id IS NULL OR fields IS NULL")), F.count_distinct("idx"), F.max("idx")).first()
+    if not n or damaged or distinct != n or last != n - 1:
         raise ArtifactError("malformed_json")
-    rows = doc.select(F.posexplode("d.entries").alias("idx", "e"))
-    envelope = F.from_json("e", "struct<tenantId:bigint,modelId:int,fields:string>").alias("v")
-    return rows.select(F.col("idx").cast("long").alias("idx"), envelope).select("idx", F.col("v.tenantId").alias("tenant_id"), F.col("v.modelId").alias("model_id"), "v.fields")
+    return rows
 
 
 __all__ = ["BATCH", "Job", "Jobs", "QUARANTINE", "import_artifact", "parse_envelope", "read_artifact", "replay", "utc_now"]

@@ -8,6 +8,7 @@ the slot is ready.  Readers keep the snapshot they planned with.
 from __future__ import annotations
 
 import time
+from collections.abc import Sequence
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
@@ -39,7 +40,8 @@ def begin_retype(reg: Registry, model_id: int, name: str, target: str, filterabl
     reg = _tombstone(reg.with_field(new), f.id)
     if new.filterable:
         reg = reg.reserve(new, "backfilling", indexed_only=True, only_page=only_page)
-    return reg.bump(), new.filterable and reg.view(model_id)[name].slot is not None
+    due = new.filterable and reg.view(model_id)[name].slot is not None
+    return reg.with_pending(f.id, f.declared_type if due else None).bump(), due
 
 
 def promote(reg: Registry, model_id: int, name: str) -> tuple[Registry, bool]:
@@ -75,14 +77,14 @@ def audit(records: DataFrame, view: FieldView, source: str) -> DataFrame:
 
 def finish_retype(reg: Registry, model_id: int, name: str) -> Registry:
     slot = reg.field(model_id, name).slot
-    return reg.with_slot(replace(slot, status="ready")).bump()
+    return reg.with_slot(replace(slot, status="ready")).with_pending(slot.field_id, None).bump()
 
 
-def sweep(reg: Registry, records: DataFrame, limit: int = 50) -> tuple[Registry, DataFrame, list[Slot]]:
-    """Tombstoned slots become free, oldest first; columns that no field's live slot uses go from the projection."""
+def sweep(reg: Registry, columns: Sequence[str], limit: int = 50) -> tuple[Registry, list[str], list[Slot]]:
+    """Tombstoned slots become free, oldest first; gives those of ``columns`` that no field's live slot uses."""
     dead = sorted((s for s in reg.slots if s.status == "tombstoned"), key=lambda s: (s.tombstoned_at or 0, s.page_id, s.column))[:limit]
     for s in dead:
         reg = reg.with_slot(replace(s, status="free", tombstoned_at=None))
-    live = {f"f_{s.field_id}" for s in reg.slots if s.field_id is not None and s.status in LIVE}
-    gone = [c for c in records.columns if c.startswith("f_") and c not in live]
-    return (reg.bump() if dead else reg), records.drop(*gone), dead
+    live = {v.column for f in reg.fields if (v := reg.view(f.model_id)[f.name]).slot is not None}
+    gone = [c for c in columns if c.startswith("f_") and c not in live]
+    return (reg.bump() if dead else reg), gone, dead

@@ -115,6 +115,37 @@ def get(records: DataFrame, tenant_id: int, entry_id: int) -> dict | None:
     return row.asDict() if row else None
 
 
+# Joins of separate tables of one field group each, as a store that splits records over tables needs them.
+
+
+def on_all_groups(entries: DataFrame, *groups: DataFrame) -> DataFrame:
+    """Entries that every group's (filtered) rows hold, with the groups' columns."""
+    for g in groups:
+        entries = entries.join(g, "entry_id")
+    return entries
+
+
+def in_any_group(entries: DataFrame, *groups: DataFrame) -> DataFrame:
+    """Entries that some group's rows hold, each once."""
+    hits = groups[0].select("entry_id")
+    for g in groups[1:]:
+        hits = hits.union(g.select("entry_id"))
+    return entries.join(hits, "entry_id", "left_semi")
+
+
+def in_no_group(entries: DataFrame, *groups: DataFrame) -> DataFrame:
+    for g in groups:
+        entries = entries.join(g.select("entry_id"), "entry_id", "left_anti")
+    return entries
+
+
+def with_groups(entries: DataFrame, *groups: DataFrame) -> DataFrame:
+    """Every entry, with null where a group has no row."""
+    for g in groups:
+        entries = entries.join(g, "entry_id", "left")
+    return entries
+
+
 class SparkDriver:
     """The default driver: batch reads of one snapshot."""
 

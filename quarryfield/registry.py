@@ -58,7 +58,8 @@ class FieldView:
 
     @property
     def column(self) -> str:
-        return f"f_{self.field.id}"
+        """Named by type too, so that a file written before a change of type is never read as the new one."""
+        return f"f_{self.field.id}_{FAMILY[self.field.declared_type]}"
 
     @property
     def group(self) -> str | None:
@@ -72,6 +73,7 @@ class Registry:
     models: tuple[Model, ...] = ()
     fields: tuple[Field, ...] = ()
     slots: tuple[Slot, ...] = ()
+    pending: tuple[tuple[int, str], ...] = ()  # fields to backfill, with the type their values were declared as
     _views: dict = field(default_factory=dict, compare=False, repr=False)
 
     # reading
@@ -171,15 +173,19 @@ class Registry:
     def with_field(self, f: Field) -> "Registry":
         return replace(self, fields=tuple(f if x.id == f.id else x for x in self.fields), _views={})
 
+    def with_pending(self, field_id: int, source: str | None) -> "Registry":
+        """Notes that a field is to be backfilled from that type; None: not any more."""
+        return replace(self, pending=(*(p for p in self.pending if p[0] != field_id), *([(field_id, source)] if source else [])))
+
     def bump(self) -> "Registry":
         return self._next()
 
     def to_dict(self) -> dict:
-        return {"version": self.version, **{k: [asdict(x) for x in getattr(self, k)] for k in ("models", "fields", "slots")}}
+        return {"version": self.version, "pending": [list(p) for p in self.pending], **{k: [asdict(x) for x in getattr(self, k)] for k in ("models", "fields", "slots")}}
 
     @staticmethod
     def from_dict(d: dict) -> "Registry":
-        return Registry(d["version"], tuple(Model(**x) for x in d["models"]), tuple(Field(**x) for x in d["fields"]), tuple(Slot(**x) for x in d["slots"]))
+        return Registry(d["version"], tuple(Model(**x) for x in d["models"]), tuple(Field(**x) for x in d["fields"]), tuple(Slot(**x) for x in d["slots"]), tuple((f, t) for f, t in d.get("pending", ())))
 
     def to_frames(self, spark: SparkSession) -> dict[str, DataFrame]:
         return {

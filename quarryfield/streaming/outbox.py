@@ -2,9 +2,9 @@
 
 The queue is a folder of Parquet files with entry ids.  ``availableNow`` reads what is there;
 the stream's checkpoint stands for cursors, leases and row locks.  Each micro-batch joins its
-ids to the store, splits good rows from rows for quarantine in one pass and hands both on.
-Results are keyed by entry and batch, so a batch that runs again after a failure changes
-nothing.
+ids to the store once, splits the records of each model into good rows, rows that wait and
+rows for quarantine, and hands them on.  Results are keyed by batch, so a batch that runs
+again after a failure changes nothing.
 """
 
 from __future__ import annotations
@@ -17,20 +17,29 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ingest import split
 from ..registry import FieldView
+from ..sources.work import materialise, remove
 
 QUEUE = "entry_id long"
+#: Queued ids that are broadcast to the store's files; more are joined by a shuffle.
+BROADCAST_IDS = 1 << 20
 
 
-def drain_batch(queue: DataFrame, records: DataFrame, fields: dict[str, FieldView]) -> DataFrame:
-    """Every queued entry once, with its typed columns and reason: null if it is fine.
+def outcomes(rows: DataFrame, fields: dict[str, FieldView]) -> DataFrame:
+    """Records of one model with their typed columns and reason: null if they are fine.
 
     ``unmapped``: a filterable field still has no slot; such rows wait for capacity.
     """
-    have = records.select("entry_id", "tenant_id", "model_id", "fields").withColumn("found", F.lit(True))
-    joined = queue.select("entry_id").distinct().join(have, "entry_id", "left")
-    rows = split(joined, fields)
-    reason = F.when(F.col("found").isNull(), "missing_entry_data").when(F.size("faults") > 0, F.when(F.array_contains("faults", "malformed_json"), "malformed_json").otherwise("schema_incompatibility"))
-    return rows.withColumns({"reason": reason, "unmapped": F.coalesce(F.size("missing") > 0, F.lit(False))}).drop("found")
+    reason = F.when(F.size("faults") > 0, F.when(F.array_contains("faults", "malformed_json"), "malformed_json").otherwise("schema_incompatibility"))
+    return split(rows, fields).withColumns({"reason": reason, "unmapped": F.size("missing") > 0})
+
+
+def drain_batch(queue: DataFrame, records: DataFrame, fields: dict[str, FieldView]) -> DataFrame:
+    """Every queued entry of one model once: its record's outcome, or ``missing_entry_data``."""
+    ids = queue.select("entry_id").distinct()
+    have = records.select("entry_id", "tenant_id", "model_id", "fields")
+    found = outcomes(have.join(ids, "entry_id", "left_semi"), fields)
+    lost = ids.join(records.select("entry_id"), "entry_id", "left_anti").select("entry_id", F.lit("missing_entry_data").alias("reason"), F.lit(False).alias("unmapped"))
+    return found.unionByName(lost, allowMissingColumns=True)
 
 
 def enqueue(entries: DataFrame, path: str) -> None:
@@ -42,18 +51,37 @@ def requeue(entries: DataFrame, path: str, name: str) -> None:
     entries.select(F.col("entry_id").cast("long").alias("entry_id")).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def drain(spark: SparkSession, queue_path: str, checkpoint: str, records: Callable[[], DataFrame], fields: Callable[[], dict[str, FieldView]], good: Callable[[DataFrame, int], None], bad: Callable[[DataFrame, int], None], waiting: Callable[[DataFrame, int], None] | None = None, files_per_batch: int | None = None) -> StreamingQuery:
-    """Run over everything queued so far; ``good``, ``bad`` and ``waiting`` must be idempotent by batch id."""
+def drain(
+    spark: SparkSession, queue_path: str, checkpoint: str, records: Callable[[], DataFrame], fields: Callable[[int], dict[str, FieldView]],
+    good: Callable[[dict[int, DataFrame], int], None], bad: Callable[[DataFrame, int], None], waiting: Callable[[DataFrame, str], None], where: str, files_per_batch: int | None = None,
+) -> StreamingQuery:
+    """Run over everything queued so far; ``good``, ``bad`` and ``waiting`` must be idempotent by batch id.
+
+    ``where``: a folder for the batch's own tables.  Rows without an entry are reported with null partitions.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        done = drain_batch(batch, records(), fields()).persist()
-        try:
-            bad(done.where("reason IS NOT NULL"), batch_id)
-            good(done.where("reason IS NULL AND NOT unmapped").drop("reason", "unmapped", "missing", "faults"), batch_id)
-            if waiting is not None:
-                waiting(done.where("reason IS NULL AND unmapped").select("entry_id", "missing"), batch_id)
-        finally:
-            done.unpersist()
+        place = f"{where}/{batch_id}"
+        remove(spark, place)
+        ids = materialise(batch.select("entry_id").distinct(), f"{place}/ids")
+        side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        found = materialise(records().select("entry_id", "tenant_id", "model_id", "fields").join(side, "entry_id", "left_semi"), f"{place}/found")
+        lost = ids.join(found.select("entry_id"), "entry_id", "left_anti")
+        faults = [lost.select("entry_id", F.lit(None).cast("long").alias("tenant_id"), F.lit(None).cast("int").alias("model_id"), F.lit("missing_entry_data").alias("reason"), F.lit("").alias("error_message"))]
+        fine, wait = {}, {}
+        for (model_id,) in found.select("model_id").distinct().collect():  # a row for each model
+            done = materialise(outcomes(found.where(F.col("model_id") == model_id), fields(model_id)), f"{place}/{model_id}")
+            faults.append(done.where("reason IS NOT NULL").select("entry_id", "tenant_id", "model_id", "reason", F.concat_ws(", ", "faults").alias("error_message")))
+            fine[model_id] = done.where("reason IS NULL AND NOT unmapped").drop("reason", "unmapped", "missing", "faults")
+            wait[model_id] = done.where("reason IS NULL AND unmapped").select("entry_id")
+        together = faults[0]
+        for f in faults[1:]:
+            together = together.union(f)
+        bad(together, batch_id)
+        good(fine, batch_id)
+        for model_id, rows in wait.items():
+            waiting(rows, f"{batch_id}-{model_id}")
+        remove(spark, place)
 
     source = spark.readStream.schema(QUEUE).option("recursiveFileLookup", "true")
     if files_per_batch:

@@ -47,6 +47,8 @@ class Settings:
     bulk_max: int = 1000
     bulk_chunk: int = 500
     export_active_cap: int = 3
+    import_round: int = 100  # chunks that commit together
+    export_backoff: tuple[int, ...] = (1, 4, 16)  # seconds before an export that failed for an outside reason is tried again
     export_max_bytes: int = 5 << 30
     export_max_skips: int = 1000
     min_free_space: float = 0.1
