@@ -693,3 +693,5 @@ def _(spark, sf_dir):
 
 
 FLAGSHIP = "filter_and"
+
+from . import scenarios  # noqa: E402, F401  (registers its queries)
