@@ -6,12 +6,13 @@ import json
 import time
 import uuid
 from collections.abc import Callable, Iterable, Sequence
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import EngineError, EntryNotFound, FieldNotFilterable, FieldNotFound, FilterError, LeaseLost, PayloadTooLarge, tenant
+from .errors import ConcurrentWrite, EngineError, EntryNotFound, FieldNotFilterable, FieldNotFound, FilterError, LeaseLost, PayloadTooLarge, tenant
 from .events import Events
 from .functions.numbering import numbered
 from .operators import analytics, export, ingest, lifecycle, planning, search
@@ -208,6 +209,17 @@ class Engine:
         remove(self.spark, where)
         return manifest
 
+    def _rewrite(self, touched: Column | DataFrame, change: Callable, without: Sequence[str] = ()) -> None:
+        """Three tries, each on the newest version, as another writer may come first."""
+        for left in (2, 1, 0):
+            try:
+                self.store.rewrite(touched, change, without)
+                return
+            except ConcurrentWrite:
+                if not left:
+                    raise
+                self.events.emit("liberator", "deadlock_retry", left=left)
+
     def _of(self, tenant_id: int, model_id: int, entry_id: int) -> Column:
         return (F.col("tenant_id") == tenant_id) & (F.col("model_id") == model_id) & (F.col("entry_id") == entry_id)
 
@@ -217,7 +229,7 @@ class Engine:
         if old is None:
             raise EntryNotFound(f"no entry {entry_id}")
         view, text = self.registry.view(old["model_id"]), json.dumps(fields, ensure_ascii=False)
-        self.store.rewrite(self._of(tenant_id, old["model_id"], entry_id), lambda df: [ingest.replace_entry(self._with(self._own(df, old["model_id"]), view), view, tenant_id, entry_id, text, self._now())])
+        self._rewrite(self._of(tenant_id, old["model_id"], entry_id), lambda df: [ingest.replace_entry(self._with(self._own(df, old["model_id"]), view), view, tenant_id, entry_id, text, self._now())])
         self.events.emit("api", "entry_updated", tenant_id=tenant_id, entry_id=entry_id)
 
     def delete(self, tenant_id: int, entry_id: int) -> bool:
@@ -225,7 +237,7 @@ class Engine:
         old = self.get(tenant_id, entry_id)
         if old is None:
             return False
-        self.store.rewrite(self._of(tenant_id, old["model_id"], entry_id), lambda df: [ingest.soft_delete(self._own(df, old["model_id"]), tenant_id, entry_id, self._now())[0]])
+        self._rewrite(self._of(tenant_id, old["model_id"], entry_id), lambda df: [ingest.soft_delete(self._own(df, old["model_id"]), tenant_id, entry_id, self._now())[0]])
         self.events.emit("api", "entry_deleted", tenant_id=tenant_id, entry_id=entry_id)
         return True
 
@@ -309,7 +321,7 @@ class Engine:
                 times = old.select("entry_id", "created_at", "updated_at", "deleted_at")
                 return [ingest.upsert(self._own(old.where(F.col("model_id") == m), m), df.withColumn("seq", F.lit(0)).join(times, "entry_id")) for m, df in frames.items()]
 
-            self.store.rewrite(keys, change)
+            self._rewrite(keys, change)
 
         bad = lambda df, batch: self._quarantine(df, "sync_queue", once=f"outbox {batch}")
         waiting = lambda df, name: None if df.isEmpty() else requeue(df, outbox, f"waiting-{name}")
@@ -444,7 +456,7 @@ class Engine:
         """Rewrites the model's files, no others; again from the start if it did not come to its end."""
         view = self.registry.view(model_id)[name]
         change = lambda df: [lifecycle.backfill(self._own(df, model_id).drop(view.column), view, source)]
-        self.store.rewrite(F.col("model_id") == model_id, change)
+        self._rewrite(F.col("model_id") == model_id, change)
         self.registry = lifecycle.finish_retype(self.registry, model_id, name)
         self.events.emit("registry", "promote_to_ready", field=name)
         self.advise(model_id)
@@ -452,10 +464,18 @@ class Engine:
 
     def sweep(self) -> int:
         """Slots of changed fields become free; files of the models that had them are rewritten without their columns."""
-        self.registry, gone, dead = lifecycle.sweep(self.registry, self.records().columns)
+        reg, gone, dead = lifecycle.sweep(self.registry, self.records().columns)
+        self.events.emit("liberator", "sweep_started", slots=len(dead))
         if gone:
-            owners = sorted({f.model_id for f in self.registry.fields for c in gone if c.startswith(f"f_{f.id}_")})
-            self.store.rewrite(F.col("model_id").isin(owners), lambda df: [self._own(df.where(F.col("model_id") == m), m).drop(*gone) for m in owners], without=gone)
+            owners = sorted({f.model_id for f in reg.fields for c in gone if c.startswith(f"f_{f.id}_")})
+            try:
+                self._rewrite(F.col("model_id").isin(owners), lambda df: [self._own(df.where(F.col("model_id") == m), m).drop(*gone) for m in owners], without=gone)
+            except ConcurrentWrite:  # the slots stay as they are for the next sweep
+                for s in dead:
+                    self.registry = self.registry.with_slot(replace(s, gaps=s.gaps + 1))
+                    self.events.emit("liberator", "sweep_gap_flagged", slot=s.id, gaps=s.gaps + 1)
+                return 0
+        self.registry = reg
         self.events.emit("liberator", "sweep_complete", slots=len(dead))
         return len(dead)
 

@@ -84,7 +84,7 @@ def sweep(reg: Registry, columns: Sequence[str], limit: int = 50) -> tuple[Regis
     """Tombstoned slots become free, oldest first; gives those of ``columns`` that no field's live slot uses."""
     dead = sorted((s for s in reg.slots if s.status == "tombstoned"), key=lambda s: (s.tombstoned_at or 0, s.page_id, s.column))[:limit]
     for s in dead:
-        reg = reg.with_slot(replace(s, status="free", tombstoned_at=None))
+        reg = reg.with_slot(replace(s, status="free", tombstoned_at=None, gaps=0))
     live = {v.column for f in reg.fields if (v := reg.view(f.model_id)[f.name]).slot is not None}
     gone = [c for c in columns if c.startswith("f_") and c not in live]
     return (reg.bump() if dead else reg), gone, dead

@@ -42,6 +42,7 @@ class Slot:
     status: str = "free"
     indexed: bool = True
     tombstoned_at: float | None = None
+    gaps: int = 0  # sweeps that could not finish
 
 
 @dataclass(frozen=True)

@@ -289,6 +289,29 @@ def test_exports_are_tried_again(spark, tmp_path, monkeypatch):
     assert waited == [1, 4, 1, 4, 16] and e.exports.rows[2].failed_reason == "query_failure"
 
 
+def test_a_sweep_that_others_disturb_is_flagged(spark, tmp_path, monkeypatch):
+    seen = []
+    e = Engine(spark, f"file://{tmp_path}/store", events=Events(sink=seen.append))
+    e.provision()
+    m = e.define_model(1, "m", [("n", "int"), ("s", "string")])
+    e.write(1, m, {"n": 1, "s": "x"})
+    e.demote(1, m, "n")
+    rewrite, failures = e.store.rewrite, [1] * 3
+
+    def disturbed(*args):
+        if failures:
+            failures.pop()
+            raise ConcurrentWrite("another writer came first")
+        return rewrite(*args)
+
+    monkeypatch.setattr(e.store, "rewrite", disturbed)
+    assert e.sweep() == 0 and [s.gaps for s in e.registry.slots if s.status == "tombstoned"] == [1]
+    assert [x["event"] for x in seen][-3:] == ["deadlock_retry", "deadlock_retry", "sweep_gap_flagged"]
+    failures.extend([1, 1])
+    assert e.sweep() == 1 and not any(c.startswith("f_1_") for c in e.records().columns)
+    assert [r["s"] for r in e.scan(1, m, None, ["s"]).collect()] == ["x"] and all(s.gaps == 0 for s in e.registry.slots)
+
+
 def test_commands_for_reconciling_and_replay(spark, tmp_path, capsys):
     from quarryfield.cli import main
 
