@@ -8,12 +8,14 @@ table cuts the lineage and survives the loss of an executor.
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.work import materialise, shared_dir, work_dir
+
+__all__ = ["blanks", "materialise", "shared_dir", "small_side", "text_or_empty", "unused", "word_count", "work_dir", "worker_threads_off"]
+
 #: Bytes that a broadcast side may hold at most; above, the join shuffles both sides.
 BROADCAST_LIMIT_BYTES = 48 << 20
 
@@ -22,32 +24,6 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 ASCII_SPACE = "\t\n\x0b\x0c\r "
 
 
-_where_unset: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; where none is named, a temporary one for a local session (tests), else an error."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        master, app = spark.sparkContext.master, spark.sparkContext.applicationId
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if app not in _where_unset:
-            _where_unset[app] = "file://" + tempfile.mkdtemp(prefix="quarryfield-")
-        where = _where_unset[app]
-    return where.rstrip("/")
-
-
-def work_dir(spark: SparkSession, operator: str) -> str:
-    """A fresh folder below the shared one; it goes when the application ends, as results are read from it until then."""
-    where = f"{shared_dir(spark)}/quarryfield/{operator}-{uuid.uuid4().hex}"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.mkdirs(path)
-    files.deleteOnExit(path)
-    return where
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with as many underscores before it as no column of ``df`` has."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -58,12 +34,6 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def materialise(df: DataFrame, where: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as a Parquet table and read it back: the plan after it starts from files."""
-    df.write.option("compression", codec).parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
-
-
 def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """``df`` marked for broadcast if ``rows`` counted rows of ``row_bytes`` stay below the limit; else as it is."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_LIMIT_BYTES else df
