@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,19 +55,33 @@ class JsonValue:
         self.bool = F.try_variant_get(v, "$", "boolean")
 
 
+_ZERO = "0." + "0" * 13 + "e+00"
+
+
 def _trim_zeros(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` mentions it.
+
+    The lambda is not part of generated code either, whose size grows with each mention and
+    beyond some size is not compiled.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def float_text(d: Column) -> Column:
     """14 significant digits; an exponent below 1e-4 and from 1e14 on (``1.0E+25``)."""
-    sci = F.format_string("%.13e", d)
-    exponent = F.try_element_at(F.split(sci, "e"), F.lit(2)).cast("int")
-    mantissa = _trim_zeros(F.element_at(F.split(sci, "e"), 1))
-    mantissa = F.when(F.contains(mantissa, F.lit(".")), mantissa).otherwise(F.concat(mantissa, F.lit(".0")))
-    plain = _trim_zeros(sci.try_cast("decimal(38,18)").cast("string"))
-    small = F.concat(mantissa, F.lit("E"), F.when(exponent < 0, "-").otherwise("+"), F.abs(exponent).cast("string"))
-    return F.when(d == 0, F.when(sci.startswith("-"), "-0").otherwise("0")).when((exponent < -4) | (exponent >= 14), small).otherwise(plain)
+
+    def spelt(sci: Column) -> Column:
+        tail = F.substring_index(sci, "e", -1)
+        digits = F.regexp_replace(F.regexp_replace(F.substring_index(sci, "e", 1), "0+$", ""), r"\.$", ".0")
+        far = F.concat(digits, F.regexp_replace(tail, r"^([+-])0*", "E$1"))
+        plain = F.regexp_replace(sci.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
+        return F.when(sci == _ZERO, "0").when(sci == "-" + _ZERO, "-0").when(~tail.try_cast("int").between(-4, 13), far).otherwise(plain)
+
+    return _let(F.format_string("%.13e", d), spelt)
 
 
 def canonical_float_text(d: Column) -> Column:
