@@ -257,13 +257,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 3, id
 
 # Near copies by similarity: wide fingerprints for candidates, shingle sets for the decision.
 
-#: Words of 64 bits: four bands of 16 bits each for the candidate cells.
+#: Words of 64 bits, 32 segments of two bits each.
 WIDE_WORDS = 16
-BAND_BITS = 16
+#: Segments whose counts a candidate cell fixes, and how often all segments are dealt into cells.
+CELL_SEGMENTS = 10
+DEALS = 3
 #: Words that travel with the cells, and how many of their bits may differ.  A pair at
 #: similarity 0.8 differs in about a sixth of its bits, an unrelated one in half.
 SKETCH_WORDS = 4
 SKETCH_BITS = 60
+#: Members of a cell up to which its pairs are compared along with those of other cells.
+SMALL_CELL = 16
 #: Members of a candidate group that meet in one task, and the pivots of a larger group's first round.
 GROUP_ROWS = 128
 FIRST_PIVOTS = 16
@@ -300,34 +304,98 @@ def _wide(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "row", "text").mapInArrow(run, schema)
 
 
-def _link_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, node, sketch words) sorted by cell: a spanning forest of each cell's close pairs."""
+def _dealt_segments() -> np.ndarray:
+    """The segments of each kind of candidate cell, one kind a row: every deal puts all segments in an order of its own."""
+    order, segments = np.random.default_rng(SEED), 32 * WIDE_WORDS
+    kinds = segments // CELL_SEGMENTS
+    return np.concatenate([order.permutation(segments)[: kinds * CELL_SEGMENTS].reshape(kinds, CELL_SEGMENTS) for _ in range(DEALS)])
 
-    def forest(sketch: np.ndarray) -> list[tuple[int, int]]:
-        out, rest = [], np.arange(len(sketch))
-        while len(rest) > 1:
-            queue, rest = [rest[0]], rest[1:]
-            while queue and len(rest):
+
+def _wide_cells(wide: np.ndarray) -> np.ndarray:
+    """Cells of wide fingerprints, (n, WIDE_WORDS) to (n, kinds): the kind and the bit counts of its segments as one number."""
+    bits = np.unpackbits(wide.astype(">u8").view(np.uint8).reshape(len(wide), 8 * WIDE_WORDS), axis=1)
+    counts, dealt = bits[:, 0::2] + bits[:, 1::2], _dealt_segments()
+    cells = np.tile(np.arange(len(dealt), dtype=np.int32), (len(wide), 1))
+    for segment in dealt.T:
+        cells = cells * np.int32(3) + counts[:, segment]
+    return cells
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, wide): node, cells."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            cells = _wide_cells(part.column(1).flatten().to_numpy().view(np.uint64).reshape(part.num_rows, WIDE_WORDS))
+            ends = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * cells.shape[1])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, pa.array(cells.ravel()))], names=["node", "wide", "cells"])
+
+
+def _unary(words: np.ndarray) -> np.ndarray:
+    """``embedded`` for arrays."""
+    low = np.uint64(_LOW_BITS)
+    x, y = words, words >> np.uint64(1)
+    return ((x | y) & low) | ((x & y & low) << np.uint64(1))
+
+
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of arrays whose last axis holds the words."""
+    return sum(np.bitwise_count(x[..., i] ^ y[..., i]).astype(np.uint16) for i in range(x.shape[-1]))
+
+
+def _close_pairs(sketch: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the close pairs of one cell.
+
+    The Manhattan distance of the counts, a lower bound, decides which pairs are verified on
+    the bits.  A block of members meets all that are unvisited; who has links there is
+    searched breadth-first, the others are done.
+    """
+    out, left = [], np.ones(len(sketch), dtype=bool)
+
+    def near(some: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        x, y = np.nonzero(_differing(counts[some][:, None], counts[rest][None]) <= SKETCH_BITS)
+        found = np.zeros((len(some), len(rest)), dtype=bool)
+        found[x, y] = _differing(sketch[some[x]], sketch[rest[y]]) <= SKETCH_BITS
+        return found
+
+    while len(rest := np.flatnonzero(left)) > 1:
+        block = rest[: max(1, min(32, (1 << 16) // len(rest)))]
+        linked = near(block, rest).sum(axis=1) > 1  # each is close to itself
+        left[block[~linked]] = False
+        for start in block[linked].tolist():
+            queue = [start] if left[start] else []
+            left[start] = False
+            while queue and len(rest := np.flatnonzero(left)):
                 at = queue.pop()
-                near = np.bitwise_count(sketch[rest] ^ sketch[at]).sum(axis=1, dtype=np.int64) <= SKETCH_BITS
-                if near.any():
-                    out += [(at, x) for x in rest[near]]
-                    queue += rest[near].tolist()
-                    rest = rest[~near]
-        return out
+                found = rest[near(np.array([at]), rest)[0]].tolist()
+                out += [(at, x) for x in found]
+                queue += found
+                left[found] = False
+    return out
+
+
+def _link_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, node, sketch words) sorted by cell: close pairs that connect whatever each cell's close pairs connect."""
 
     def take(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         if not parts:
             return
         cells, nodes, *words = (np.concatenate(c) for c in zip(*parts))
         sketch = np.stack(words, axis=1).view(np.uint64)
+        counts = _unary(sketch)
         cut = np.flatnonzero(np.diff(cells)) + 1
         first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(cells)]])
-        two = first[last - first == 2]
-        near = two[np.bitwise_count(sketch[two] ^ sketch[two + 1]).sum(axis=1, dtype=np.int64) <= SKETCH_BITS]
-        a, b = [nodes[near]], [nodes[near + 1]]
-        for lo, hi in zip(first[last - first > 2], last[last - first > 2]):
-            if found := forest(sketch[lo:hi]):
+        size = last - first
+        left = np.repeat(last, size) - np.arange(len(cells)) - 1  # members of the cell after this one
+        at, a, b = np.flatnonzero(np.repeat(size <= SMALL_CELL, size)), [], []
+        for step in range(1, SMALL_CELL):
+            at = at[left[at] >= step]
+            x = at[_differing(counts[at], counts[at + step]) <= SKETCH_BITS]
+            x = x[_differing(sketch[x], sketch[x + step]) <= SKETCH_BITS]
+            a.append(nodes[x])
+            b.append(nodes[x + step])
+        for lo, hi in zip(first[size > SMALL_CELL], last[size > SMALL_CELL]):
+            if found := _close_pairs(sketch[lo:hi], counts[lo:hi]):
                 pairs = np.array(found) + lo
                 a.append(nodes[pairs[:, 0]])
                 b.append(nodes[pairs[:, 1]])
@@ -486,11 +554,13 @@ def distinct_documents(docs: DataFrame, shingle: int = 5, min_similarity: float
     """``docs`` with one document of each group of near copies: the one with the smallest id.
 
     Copies link if the Jaccard similarity of their shingle sets reaches ``min_similarity``.
-    At 0.8 about a sixth of the bits of two SimHashes differ, far beyond the few bits that
-    cells of one 64-bit fingerprint can bridge, so candidates are pairs that agree on one of
-    64 bands of a 1,024-bit fingerprint and differ in few bits of a 256-bit part of it; the
-    README gives the measured recall.  The decision is made on the shingles themselves, for
-    whatever pairs the candidates connect.
+    Candidates come from a 1,024-bit SimHash of the distinct shingles by operator 8's method: its
+    512 segments of two bits are mapped to their bit counts, a cell holds who agrees on the counts
+    of ten segments, and pairs that meet in a cell are filtered by the Manhattan distance of the
+    counts of a 256-bit part, the lower bound, and verified on its bits.  At 0.8 about a sixth of
+    the bits of two SimHashes differ, too many for any choice of cells that must hold every such
+    pair; there are 153 kinds of cell, and the README gives their measured recall.  The decision
+    is made on the shingles themselves, for whatever pairs the candidates connect.
 
     Texts without a word are copies of one another.  Rows equal in id and text are one.
     """
@@ -501,11 +571,10 @@ def distinct_documents(docs: DataFrame, shingle: int = 5, min_similarity: float
     least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row"))
     nodes = materialise(marked.groupBy(node.alias("node")).agg(least.alias("least"), F.any_value("wide").alias("wide"), F.count(F.lit(1)).alias("n")), f"{where}/nodes")
 
-    bands = [(w, s) for w in range(WIDE_WORDS) for s in range(0, 64, BAND_BITS)]
-    word = lambda i: F.element_at("wide", i + 1)
-    cell = F.explode(F.array(*(F.xxhash64(F.lit(i), F.shiftrightunsigned(word(w), s).bitwiseAND(F.lit((1 << BAND_BITS) - 1))) for i, (w, s) in enumerate(bands))))
-    grid = nodes.select(cell.alias("cell"), "node", *(word(i).alias(f"s{i}") for i in range(SKETCH_WORDS))).repartition("cell").sortWithinPartitions("cell")
-    pairs = materialise(grid.mapInArrow(_link_bands, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{where}/pairs")
+    sketch = [F.element_at("wide", i + 1).alias(f"s{i}") for i in range(SKETCH_WORDS)]
+    celled = nodes.select("node", "wide").mapInArrow(_cells, "node long, wide array<long>, cells array<int>")
+    grid = celled.select(F.explode("cells").alias("cell"), "node", *sketch).repartition("cell").sortWithinPartitions("cell")
+    pairs = materialise(grid.mapInArrow(_link_wide, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{where}/pairs")
 
     # Decision on the shingle sets of one document for each shingle set that has a candidate.
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()

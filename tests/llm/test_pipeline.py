@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +229,56 @@ def test_mixed_repeats_documents(spark):
     counts = collections.Counter(tuple(g) for g in got.collect())
     for d, s, t, e in rows:
         assert counts[(d, s, t, e)] == by[(d, s, len(WORD.findall(t)))]
+
+
+def test_candidates_agree_on_segment_counts(spark, monkeypatch):
+    """Near copies whose fingerprints differ in one segment of every 16 bits, never in its bit count."""
+    words = [f"w{i}" for i in range(100)]
+    rows = [(0, " ".join(words)), (1, " ".join([*words, "end"])), (2, " ".join(f"x{i}" for i in range(100)))]
+    wide, one, other = simhash._wide, 0x1111111111111111, 0x1112111211121112
+
+    def given(docs, shingle):
+        fps = [F.array(*[F.lit(x)] * simhash.WIDE_WORDS) for x in (one, other, ~one)]
+        return wide(docs, shingle).withColumn("wide", F.when(F.col("doc_id") == 0, fps[0]).when(F.col("doc_id") == 1, fps[1]).otherwise(fps[2]))
+
+    monkeypatch.setattr(simhash, "_wide", given)
+    got = simhash.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(g.doc_id for g in got) == [0, 2]
+
+
+def test_wide_cells_against_brute_force():
+    r = np.random.default_rng(3)
+    wide = r.integers(0, 1 << 64, (40, simhash.WIDE_WORDS), dtype=np.uint64)
+    wide[20:] = wide[:20] ^ (np.uint64(1) << r.integers(0, 64, (20, simhash.WIDE_WORDS), dtype=np.uint64))
+    dealt = simhash._dealt_segments()
+    assert dealt.shape == (153, 10) and all(len(set(kind)) == 10 for kind in dealt.tolist())
+    counts = [[f"{w:064b}"[i : i + 2].count("1") for w in fp for i in range(0, 64, 2)] for fp in wide.tolist()]
+    want = [[(k, *(c[i] for i in kind)) for k, kind in enumerate(dealt.tolist())] for c in counts]
+    got = simhash._wide_cells(wide)
+    assert len({(x, y) for a, b in zip(got.tolist(), want) for x, y in zip(a, b)}) == len(np.unique(got)) == len({x for b in want for x in b})
+
+
+def test_close_pairs_of_cells_against_brute_force():
+    r, rows = np.random.default_rng(4), []
+    for cell, size in enumerate([1, 2, 3, 16, 17, 60, 300, 5, 1, 2]):
+        fps = r.integers(0, 1 << 64, (size, 4), dtype=np.uint64)
+        for i in range(1, size):  # some are copies of an earlier one with about a ninth of the bits changed
+            if r.random() < 0.6:
+                flips = np.packbits(r.random((4, 64)) < 0.16 * r.random() + 0.05, axis=1).view(">u8").astype(np.uint64).ravel()
+                fps[i] = fps[r.integers(0, i)] ^ flips
+        rows += [(cell, len(rows) + i, fp) for i, fp in enumerate(fps)]
+    bits = lambda x, y: sum((a ^ b).bit_count() for a, b in zip(x.tolist(), y.tolist()))
+    close = {(i, j) for c, i, x in rows for d, j, y in rows[i + 1 :] if c == d and bits(x, y) <= simhash.SKETCH_BITS}
+    cols = [np.array([x[0] for x in rows], dtype=np.int32), np.array([x[1] for x in rows]), *np.array([x[2] for x in rows]).view(np.int64).T]
+    table = pa.Table.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=[f"c{i}" for i in range(6)])
+    found = {(min(a, b), max(a, b)) for batch in simhash._link_wide(iter(table.to_batches(max_chunksize=50))) for a, b in zip(*(c.to_pylist() for c in batch.columns))}
+    assert found <= close
+
+    def roots(pairs):
+        root = list(range(len(rows)))
+        for i, j in sorted(pairs):
+            lo, hi = sorted((root[i], root[j]))
+            root = [lo if x == hi else x for x in root]
+        return root
+
+    assert roots(found) == roots(close) and 100 < len(found) < len(close)
