@@ -7,14 +7,17 @@ table cuts the lineage and survives the loss of an executor.
 
 from __future__ import annotations
 
+import ctypes
 import os
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.work import materialise, shared_dir, work_dir
 
-__all__ = ["blanks", "materialise", "shared_dir", "small_side", "text_or_empty", "unused", "word_count", "work_dir", "worker_threads_off"]
+__all__ = ["blanks", "materialise", "shared_dir", "small_side", "text_or_empty", "tidy", "unused", "word_count", "work_dir", "worker_threads_off"]
 
 #: Bytes that a broadcast side may hold at most; above, the join shuffles both sides.
 BROADCAST_LIMIT_BYTES = 48 << 20
@@ -63,6 +66,24 @@ def word_count(text: Column) -> Column:
     return F.when(one == "", 0).when(F.contains(one, F.lit("  ")), F.regexp_count(one, F.lit("[^ ]+"))).otherwise(simple).cast("long")
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, giving freed memory back to the system when a task ends.
+
+    Spark keeps a task's Python worker for later ones, and what its allocators hold counts
+    towards the executor's limit meanwhile, also in stages that need no Python.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+                trim(0)
+
+    return task
+
+
 def worker_threads_off() -> None:
     """Tokenizers otherwise start a thread pool in each Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

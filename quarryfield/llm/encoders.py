@@ -157,13 +157,17 @@ def tokenizer_path(name: str) -> str:
 
 
 def slices(batch, rows: int = 64, chars: int = 1 << 20):
-    """Parts of an Arrow batch (id column, text column) with few rows and bounded text."""
-    ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-    at = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if i - at + 1 >= rows or held >= chars:
-            yield ids[at : i + 1], texts[at : i + 1]
-            at, held = i + 1, 0
-    if at < len(texts):
-        yield ids[at:], texts[at:]
+    """Parts of an Arrow batch (id column, text column) with few rows and bounded text.
+
+    A batch may hold 64 MB of text, so a text becomes a string only in its own part.
+    """
+    ids, texts = batch.column(0), batch.column(1)
+    at, held, part = 0, 0, []
+    for i in range(batch.num_rows):
+        part.append(texts[i].as_py())
+        held += len(part[-1])
+        if len(part) >= rows or held >= chars:
+            yield ids.slice(at, len(part)).to_pylist(), part
+            at, held, part = i + 1, 0, []
+    if part:
+        yield ids.slice(at).to_pylist(), part

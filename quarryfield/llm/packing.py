@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, small_side, text_or_empty, work_dir
+from .common import materialise, small_side, text_or_empty, tidy, work_dir
 from .encoders import encoder, slices, tokenizer_path
 
 #: Bytes of one (task, length) count in memory, rounded up.
@@ -120,7 +120,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_len: int = 1024, end
     source = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     id_type = source.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), *(T.StructField(n, t()) for n, t in (("piece", T.IntegerType), ("start", T.LongType), ("length", T.LongType), ("ids", T.BinaryType), ("task", T.IntegerType), ("nth", T.LongType)))])
-    pieces = materialise(source.mapInArrow(_tokenise(tokenizer, max_len, end_id, to_arrow_type(id_type)), schema), f"{where}/pieces")
+    pieces = materialise(source.mapInArrow(tidy(_tokenise(tokenizer, max_len, end_id, to_arrow_type(id_type))), schema), f"{where}/pieces")
 
     by_task = materialise(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), f"{where}/counts")
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # max_len rows at most
@@ -144,4 +144,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_len: int = 1024, end
             )
 
     out = T.StructType([*schema.fields[:5], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.mapInArrow(place, out)
+    return ranked.mapInArrow(tidy(place), out)

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, small_side, text_or_empty, unused, work_dir
+from .common import materialise, small_side, text_or_empty, tidy, unused, work_dir
 from .components import connected_components
 from .encoders import slices
 
@@ -301,7 +301,7 @@ def _wide(docs: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(rows, pa.int64()), pa.array(shingled), flat], names=["doc_id", "row", "shingled", "wide"])
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("row", T.LongType()), T.StructField("shingled", T.LongType()), T.StructField("wide", T.ArrayType(T.LongType()))])
-    return docs.select("doc_id", "row", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "row", "text").mapInArrow(tidy(run), schema)
 
 
 def _dealt_segments() -> np.ndarray:
@@ -425,7 +425,7 @@ def _shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
                 sets = [_distinct_hashes(t, shingle).view(np.int64) for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return rows.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+    return rows.select("node", "text").mapInArrow(tidy(run), "node long, shingles array<long>")
 
 
 def _decide(min_similarity: float):
@@ -523,7 +523,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, min_similarity: float, where: st
 
     def meet(rows: DataFrame, name: str) -> DataFrame:
         keyed = rows.select(F.xxhash64("comp", "chunk").alias("key"), "pivot", "node").join(sets, "node").select("key", "pivot", "node", "shingles")
-        return materialise(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_decide(min_similarity), "a long, b long, score double"), f"{where}/{name}")
+        return materialise(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_decide(min_similarity)), "a long, b long, score double"), f"{where}/{name}")
 
     links = meet(dealt.withColumn("pivot", F.lit(False)), "met").select("a", "b")
     if large.isEmpty():
@@ -572,9 +572,9 @@ def distinct_documents(docs: DataFrame, shingle: int = 5, min_similarity: float
     nodes = materialise(marked.groupBy(node.alias("node")).agg(least.alias("least"), F.any_value("wide").alias("wide"), F.count(F.lit(1)).alias("n")), f"{where}/nodes")
 
     sketch = [F.element_at("wide", i + 1).alias(f"s{i}") for i in range(SKETCH_WORDS)]
-    celled = nodes.select("node", "wide").mapInArrow(_cells, "node long, wide array<long>, cells array<int>")
+    celled = nodes.select("node", "wide").mapInArrow(tidy(_cells), "node long, wide array<long>, cells array<int>")
     grid = celled.select(F.explode("cells").alias("cell"), "node", *sketch).repartition("cell").sortWithinPartitions("cell")
-    pairs = materialise(grid.mapInArrow(_link_wide, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{where}/pairs")
+    pairs = materialise(grid.mapInArrow(tidy(_link_wide), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{where}/pairs")
 
     # Decision on the shingle sets of one document for each shingle set that has a candidate.
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()

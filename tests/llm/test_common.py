@@ -1,3 +1,6 @@
+import re
+import subprocess
+import sys
 from types import SimpleNamespace
 
 import pytest
@@ -38,3 +41,50 @@ def test_words_and_blanks(spark):
     for r in df.select("t", word_count(F.col("t")).alias("n"), blanks(F.col("t")).alias("b")).collect():
         assert r.n == len(WORD.findall(r.t))
         assert r.b == "".join(" " if c in "\t\n\x0b\x0c\r " else c for c in r.t)
+
+
+KEPT = """
+import re
+import pyarrow as pa
+from quarryfield.llm.common import tidy
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def run(batches):
+    for batch in batches:
+        texts = []
+        for _ in range(4_000):
+            texts.append(bytes(20_000))
+            stays.append(bytes(600))  # between the texts, so that the allocator does not give them back by itself
+        del texts
+        yield pa.RecordBatch.from_arrays([pa.array([len(stays)])], names=["n"])
+
+stays, rows = [], 0
+for batch in WRAP(run)([]):
+    pass
+pa.array([1])[0].as_py()
+before = held()
+for batch in WRAP(run)([None]):
+    rows += batch.column(0)[0].as_py()
+print(rows, held() - before)
+"""
+
+
+def test_an_idle_worker_holds_no_freed_memory():
+    def mb(wrap):
+        out = subprocess.run([sys.executable, "-c", KEPT.replace("WRAP", wrap)], capture_output=True, text=True, check=True, timeout=60).stdout.split()
+        assert out[0] == "4000"
+        return float(out[1])
+
+    assert mb("tidy") < mb("") / 2
+
+
+def test_every_arrow_task_of_the_pipeline_is_tidy():
+    from inspect import getsource
+
+    from quarryfield.llm import packing, simhash
+
+    near_copies = getsource(simhash).split("# Near copies by similarity")[1]
+    for source in (getsource(packing), near_copies):
+        assert (calls := re.findall(r"mapInArrow\((\w+)", source)) and set(calls) == {"tidy"}
