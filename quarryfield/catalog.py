@@ -15,7 +15,7 @@ from .operators.coercion import retype_value, write_value
 from .plans.wire import decode
 from .registry import Registry
 from .sources.tables import CUSTOMER, EVENT, ORDER, PART, Source, records, table
-from .sources.work import work_dir
+from .sources.work import gathered, work_dir
 from .types import DATETIME, INT, NUMERIC, STRING, Settings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,8 +144,8 @@ def _(spark, sf_dir):
 @_query("page_drain", _CUSTOMER + "SELECT entry_id, c_name FROM e WHERE tenant_id = 1")
 def _(spark, sf_dir):
     df, reg = records(spark, sf_dir, CUSTOMER)
-    rows = [(r["entry_id"], r["c_name"]) for page in search.pages(df, reg.view(1), search.Request(1, 1, None, ["c_name"], 1000)) for r in page.rows]
-    return spark.createDataFrame(rows, "entry_id long, c_name string")
+    rows = ((r["entry_id"], r["c_name"]) for page in search.pages(df, reg.view(1), search.Request(1, 1, None, ["c_name"], 1000)) for r in page.rows)
+    return gathered(spark, rows, "entry_id long, c_name string", work_dir(spark, "pages"))
 
 
 @_query("cursor_tokens", _CUSTOMER + "SELECT entry_id, rtrim(replace(replace(base64(encode('v1:' || entry_id)), '+', '-'), '/', '_'), '=') AS cursor FROM e")

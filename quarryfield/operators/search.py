@@ -22,6 +22,9 @@ from ..plans.preflight import not_filterable_reason, validate
 from ..registry import FieldView
 from ..types import DATETIME, Settings
 
+#: Rows that one task sends to the driver when pages are drained.
+TASK_ROWS = 1 << 15
+
 
 @dataclass(frozen=True)
 class Page:
@@ -99,13 +102,22 @@ def page(records: DataFrame, fields: dict[str, FieldView], request: Request, set
 
 
 def pages(records: DataFrame, fields: dict[str, FieldView], request: Request, settings: Settings = Settings()) -> Iterator[Page]:
-    """Pages until the last; analytics take ``scan`` instead."""
-    while True:
-        got = page(records, fields, request, settings)
-        yield got
-        if got.next_cursor is None:
-            return
-        request = Request(request.tenant_id, request.model_id, request.filter, request.select, request.page_size, got.next_cursor)
+    """Pages until the last, all of one snapshot: the rows are sorted once and cut into pages as they arrive.
+
+    So a page costs its own rows, not another scan, and the driver holds a page and the results of
+    two tasks.  Analytics take ``scan`` instead.
+    """
+    request.check(settings)
+    after = decode_cursor(request.cursor) if request.cursor is not None else 0
+    df = scan(records, fields, request.tenant_id, request.model_id, request.filter, request.select, after, settings)
+    tasks = max(1, -(-df.count() // TASK_ROWS))
+    rows: list[dict] = []
+    for r in df.repartitionByRange(tasks, "entry_id").sortWithinPartitions("entry_id").toLocalIterator(prefetchPartitions=True):
+        if len(rows) == request.page_size:
+            yield Page(rows, encode_cursor(rows[-1]["entry_id"]), request.page_size)
+            rows = []
+        rows.append(r.asDict())
+    yield Page(rows, None, request.page_size)
 
 
 def get(records: DataFrame, tenant_id: int, entry_id: int) -> dict | None:

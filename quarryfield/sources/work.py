@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
+from itertools import batched
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +46,13 @@ def materialise(df: DataFrame, where: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+def gathered(spark: SparkSession, rows: Iterable[tuple], schema: str, where: str, block: int = 1 << 17) -> DataFrame:
+    """Rows that reach the driver one after the other, as a Parquet table in the existing folder ``where``; the driver holds one block of them."""
+    for part in batched(rows, block):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(where)
+    return spark.read.schema(schema).parquet(where)
+
+
 def remove(spark: SparkSession, uri: str) -> None:
     path, files = file_of(spark, uri)
     files.delete(path, True)
