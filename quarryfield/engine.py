@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import uuid
@@ -23,7 +24,7 @@ from .registry import Registry
 from .sources.store import Store
 from .sources.work import materialise, remove, work_dir
 from .streaming.imports import run_import
-from .streaming.outbox import drain, enqueue, requeue
+from .streaming.outbox import drain, enqueue, park, release
 from .types import FAMILY, LIVE, SPARK_TYPE, Settings
 
 
@@ -143,15 +144,15 @@ class Engine:
     def _append(self, frames: Sequence[DataFrame], queued: int | None = None, notes: dict | None = None, once: str | None = None) -> None:
         """Split rows with entry ids, one frame for each model, as one version.
 
-        Entries with a field that has no slot are queued first: should the write fail after
-        that, the queue reports ids without an entry; the other way round it would lose some.
+        Entries with a field that has no slot are queued first, to wait for one: should the write fail
+        after that, the queue reports ids without an entry; the other way round it would lose some.
         """
         waiting = [df.where(F.size("missing") > 0).select("entry_id") for df in frames]
         if queued is None:
             queued = sum(w.count() for w in waiting)
         if queued:
             for w in waiting:
-                enqueue(w, f"{self.root}/outbox")
+                enqueue(w, self._waiting_room())
             self.events.emit("api", "exhaustion_fallback", rows=queued)
         self.store.append(*(ingest.stamped(df, self._now()) for df in frames), notes=notes, once=once)
 
@@ -297,15 +298,26 @@ class Engine:
         self.dead.write(left.drop("id"))
         return n
 
+    def _slotless(self) -> list:
+        """Filterable fields that wait for a slot."""
+        return [f for f in self.registry.fields if f.filterable and self.registry.view(f.model_id)[f.name].slot is None]
+
+    def _waiting_room(self) -> str:
+        """Where entries wait as long as the very fields stay without a slot that have none now."""
+        ids = ",".join(str(i) for i in sorted(f.id for f in self._slotless()))
+        return f"{self.root}/outbox-waiting/{hashlib.sha256(ids.encode()).hexdigest()}" if ids else f"{self.root}/outbox"
+
     def drain_outbox(self) -> None:
         """Fill in typed values for entries whose field had no slot when they were written.
 
-        Entries with a field that still has none are queued again.
+        Entries with a field that still has none wait; they are read again when the fields without a slot are others.
         """
-        for f in self.registry.fields:
-            if f.filterable and self.registry.view(f.model_id)[f.name].slot is None:
-                self.registry = self.registry.reserve(f, "assigned", indexed_only=True)
-        outbox = f"{self.root}/outbox"
+        for f in self._slotless():
+            self.registry = self.registry.reserve(f, "assigned", indexed_only=True)
+        outbox, room = f"{self.root}/outbox", self._waiting_room()
+        release(self.spark, f"{self.root}/outbox-waiting", room.rsplit("/", 1)[1], outbox)
+        if not self._exists(outbox):
+            return
 
         def good(frames: dict[int, DataFrame], _batch: int) -> None:
             frames = {m: df for m, df in frames.items() if not df.isEmpty()}
@@ -318,13 +330,12 @@ class Engine:
 
             def change(old: DataFrame) -> list[DataFrame]:
                 """Records of the touched files, each of one model: those that were drained with their new values, the others as they are."""
-                times = old.select("entry_id", "created_at", "updated_at", "deleted_at")
-                return [ingest.upsert(self._own(old.where(F.col("model_id") == m), m), df.withColumn("seq", F.lit(0)).join(times, "entry_id")) for m, df in frames.items()]
+                return [ingest.filled_in(self._own(old.where(F.col("model_id") == m), m), df) for m, df in frames.items()]
 
             self._rewrite(keys, change)
 
         bad = lambda df, batch: self._quarantine(df, "sync_queue", once=f"outbox {batch}")
-        waiting = lambda df, name: None if df.isEmpty() else requeue(df, outbox, f"waiting-{name}")
+        waiting = lambda df, name: None if df.isEmpty() else park(df, room, f"waiting-{name}")
         drain(self.spark, outbox, f"{self.root}/outbox-progress", self.records, self.registry.view, good, bad, waiting, self._work()).awaitTermination()
 
     def _own(self, df: DataFrame, model_id: int) -> DataFrame:
@@ -337,10 +348,9 @@ class Engine:
 
         ``capacity_wait``: some field still has no slot, so entries stay queued for the next page.
         """
-        if self.store.version() is not None and self._exists(f"{self.root}/outbox"):
+        if self.store.version() is not None:
             self.drain_outbox()
-        waiting = any(f.filterable and self.registry.view(f.model_id)[f.name].slot is None for f in self.registry.fields)
-        if waiting:
+        if self._slotless():
             self.events.emit("reconciler", "capacity_wait")
             return "capacity_wait"
         if self.run_next_import():

@@ -128,6 +128,15 @@ def upsert(current: DataFrame, changes: DataFrame, key: str = "entry_id", order:
     return current.join(latest.select(key), key, "left_anti").unionByName(latest, allowMissingColumns=True)
 
 
+def filled_in(current: DataFrame, drained: DataFrame) -> DataFrame:
+    """Records with the payload and typed columns of ``drained``, one row for each of its ids, in one join; typed columns it lacks become null there."""
+    fixed = ("entry_id", "tenant_id", "model_id", "created_at", "updated_at", "deleted_at")
+    new = {c: f"_new_{i}" for i, c in enumerate(drained.columns) if c not in fixed}
+    rows = current.join(drained.select("entry_id", F.lit(True).alias("_hit"), *(F.col(c).alias(n) for c, n in new.items())), "entry_id", "left")
+    put = {c: F.when(F.col("_hit"), F.col(new[c]) if c in new else None).otherwise(F.col(c) if c in current.columns else None) for c in [*current.columns, *new] if c not in fixed}
+    return rows.select(*(put[c].alias(c) if c in put else c for c in dict.fromkeys([*current.columns, *new])))
+
+
 def replace_entry(records: DataFrame, fields: dict[str, FieldView], tenant_id: int, entry_id: int, payload_json: str, now: Column) -> DataFrame:
     """Full replacement: fields left out become null, model and creation time stay."""
     hit = (F.col("entry_id") == entry_id) & (F.col("tenant_id") == tenant(tenant_id)) & F.col("deleted_at").isNull()

@@ -10,6 +10,7 @@ again after a failure changes nothing.
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ingest import split
 from ..registry import FieldView
-from ..sources.work import materialise, remove
+from ..sources.work import file_of, materialise, remove
 
 QUEUE = "entry_id long"
 #: Queued ids that are broadcast to the store's files; more are joined by a shuffle.
@@ -46,11 +47,28 @@ def enqueue(entries: DataFrame, path: str) -> None:
     entries.select(F.col("entry_id").cast("long").alias("entry_id")).write.mode("append").parquet(path)
 
 
-def requeue(entries: DataFrame, path: str, name: str) -> None:
-    """Queue again under a name of the caller's: a second time replaces the first."""
+def park(entries: DataFrame, path: str, name: str) -> None:
+    """Set aside under a name of the caller's: a second time replaces the first."""
     entries.select(F.col("entry_id").cast("long").alias("entry_id")).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def release(spark: SparkSession, parked: str, key: str, queue: str) -> None:
+    """Queue again what is set aside below ``parked``, all but the folder ``key``.
+
+    Ids are queued before their files go, so a failure repeats some and loses none; files that
+    another writer adds meanwhile stay for the next time.
+    """
+    top, fs = file_of(spark, parked)
+    for folder in [s.getPath() for s in fs.listStatus(top)] if fs.exists(top) else []:
+        if folder.getName() != key:
+            ids = spark.read.schema(QUEUE).option("recursiveFileLookup", "true").parquet(folder.toString())
+            files = ids.inputFiles()
+            if files:
+                enqueue(ids, queue)
+            for f in files:
+                remove(spark, unquote(f))
+
+
 def drain(
     spark: SparkSession, queue_path: str, checkpoint: str, records: Callable[[], DataFrame], fields: Callable[[int], dict[str, FieldView]],
     good: Callable[[dict[int, DataFrame], int], None], bad: Callable[[DataFrame, int], None], waiting: Callable[[DataFrame, str], None], where: str, files_per_batch: int | None = None,
